@@ -102,8 +102,27 @@ def independent_terms(xx: np.ndarray) -> list[int]:
     return kept
 
 
-def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-10,
-                    max_steps: int = 600) -> np.ndarray:
+def used_columns(small: np.ndarray, q: int) -> tuple[list[int], list[int]]:
+    """Independent fixed terms, and the columns of the system that remain."""
+    fixed = independent_terms(small[q:-1, q:-1])
+    return fixed, [*range(q), *[q + j for j in fixed], len(small) - 1]
+
+
+def drop_to_zero(f, t: np.ndarray, slack: float = 1e-6) -> np.ndarray:
+    """Put standard deviations on the boundary when that costs nothing."""
+    t = np.abs(t)
+    best = f(t)
+    for i in np.argsort(t):
+        trial = t.copy()
+        trial[i] = 0.0
+        value = f(trial)
+        if value <= best + slack:
+            t, best = trial, min(best, value)
+    return t
+
+
+def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
+                    spread: float = 1e-6, max_steps: int = 600) -> np.ndarray:
     """Nelder-Mead minimum of ``f``."""
     k = len(start)
     points = [start] + [start + step * np.eye(k)[i] * max(abs(start[i]), 0.2) for i in range(k)]
@@ -112,7 +131,7 @@ def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-10,
     for _ in range(max_steps):
         order = np.argsort(val, kind="stable")
         pts, val = pts[order], val[order]
-        if val[-1] - val[0] <= tol * (abs(val[0]) + tol) and np.ptp(pts, axis=0).max() < 1e-5:
+        if val[-1] - val[0] <= tol and np.ptp(pts, axis=0).max() < spread:
             break
         centre = pts[:-1].mean(axis=0)
         far = centre - pts[-1]
@@ -183,8 +202,7 @@ class Profile:
 def fit(system: System, names: list[str], theta: list[float] | None = None) -> pd.DataFrame:
     """Effects with conditional sds, fixed coefficients and standard deviations."""
     q = sum(len(v) for _, v in system.small_groups)
-    fixed = independent_terms(system.small[q:-1, q:-1])
-    cols = [*range(q), *[q + j for j in fixed], len(system.small) - 1]
+    fixed, cols = used_columns(system.small, q)
     small = system.small[np.ix_(cols, cols)]
     rows, counts = system.big_rows[:, cols], system.big_n
     p = len(fixed)
@@ -200,10 +218,10 @@ def fit(system: System, names: list[str], theta: list[float] | None = None) -> p
     big = place[system.big_name]
     others = [place[g] for g, _ in system.small_groups]
     if theta is None:
-        best = simplex_minimum(
-            lambda t: profile.criterion(t[big], t[others]), np.full(len(system.order), 0.3)
-        )
-        t = np.abs(best)
+        def goal(t: np.ndarray) -> float:
+            return profile.criterion(t[big], t[others])
+
+        t = drop_to_zero(goal, simplex_minimum(goal, np.full(len(system.order), 0.3)))
     else:
         t = np.asarray(theta, float)
     t_big, t_small = t[big], t[others]

@@ -6,13 +6,14 @@ from .semantics import (
     is_number,
     label,
     null_safe_join,
+    sql_div,
     text_flag,
     union_all,
 )
-from .storage import clear_settled, settle, settle_parts, shared_folder
+from .storage import clear_settled, settle, settle_parts, shared_folder, spread
 
 __all__ = [
     "Tally", "clear_settled", "ieee_div", "if_known", "is_number", "label",
     "null_safe_join", "number_rows", "prefix_sum", "settle", "settle_parts",
-    "shared_folder", "text_flag", "top_rows", "union_all",
+    "shared_folder", "spread", "sql_div", "text_flag", "top_rows", "union_all",
 ]

@@ -27,6 +27,12 @@ def ieee_div(num: Column, den: Column) -> Column:
     return F.when(d != 0, n / d).when(d == 0, n * F.lit(INF))
 
 
+def sql_div(num: str, den: str) -> str:
+    """SQL text of :func:`ieee_div`."""
+    n, d = f"double({num})", f"double({den})"
+    return f"case when {d} <> 0 then {n} / {d} when {d} = 0 then {n} * double('Infinity') end"
+
+
 def if_known(cond: Column, yes: Column, no: Column) -> Column:
     """Two-way choice that stays missing when the condition is missing."""
     return F.when(cond, yes).when(~cond, no)

@@ -55,6 +55,15 @@ def settle_parts(parts: dict[str, DataFrame], name: str) -> dict[str, DataFrame]
     return {k: whole.where(F.col("part") == k).drop("part") for k in parts}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that is stored in fewer pieces than there are cores.
+
+    Large tables come in many pieces and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clear_settled(spark: SparkSession) -> None:
     """Delete every table this application has settled."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -68,6 +68,7 @@ def resample_drives(
     units = drive_units(plays, run_keys) if units is None else units
     copies = draw_copies(units, keys, n_sims, seed, first_sim)
     weights = copies.join(units, [*keys, UNIT]).select(*keys, "Game_Drive", SIM, COPIES)
+    weights = settle(weights, "drawn_drives")
     tagged = plays.withColumn("Game_Drive", label("GameID", "Drive"))
     return tagged.join(weights, [*keys, "Game_Drive"]).drop("Game_Drive")
 
@@ -95,7 +96,7 @@ def resample_plays(
     """Plays of every replicate, with ``sim_id`` and ``copies``, drawn one by one."""
     keys = [*run_keys, "posteam"]
     units = play_units(plays, run_keys, order_by) if units is None else units
-    copies = draw_copies(units, keys, n_sims, seed, first_sim)
+    copies = settle(draw_copies(units, keys, n_sims, seed, first_sim), "drawn_plays")
     return units.join(copies, [*keys, UNIT]).drop(UNIT)
 
 
@@ -114,7 +115,8 @@ def simulate_seasons(
 ) -> PositionTables:
     """Run ``pipeline(plays, run_keys, weight)`` on every replicate.
 
-    Replicates of a batch are one plan keyed by ``sim_id``; batches only bound
+    The pipeline gets the join of plays and drawn units and should write the plays
+    it keeps. Replicates of a batch are one plan keyed by ``sim_id``; batches only bound
     the size of the intermediate shuffles. Results are written batch by batch.
     """
     make_units = drive_units if drive_level else play_units
@@ -124,7 +126,7 @@ def simulate_seasons(
     for start in range(1, n_sims + 1, sims_per_batch):
         n = min(sims_per_batch, n_sims + 1 - start)
         drawn = resample(plays, n, run_keys, seed, start, units)
-        tables = pipeline(settle(drawn, "replicates"), (*run_keys, SIM), COPIES)
+        tables = pipeline(drawn, (*run_keys, SIM), COPIES)
         results.append({k: settle(v, f"sim_{k}") for k, v in tables.positions().items()})
     return stack_results(results)
 

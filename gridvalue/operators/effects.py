@@ -80,17 +80,27 @@ FIT_FIELDS = [
 ]
 
 
-def _factor_values(rows: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    """Values of the fixed factors, read once for the design's column names."""
-    if not names:
-        return {}
-    found = rows.agg(*[F.collect_set(n).alias(n) for n in names]).first()
-    out = {}
-    for n in names:
-        values = sorted(found[n])
-        if len(values) > MAX_FACTOR_VALUES:
-            raise ValueError(f"{n} has {len(values)} values; use it as a grouping factor")
-        out[n] = values
+def _factor_values(
+    inputs: Mapping[str, tuple[DataFrame, MixedSpec]]
+) -> dict[str, dict[str, list[str]]]:
+    """Values of every model's fixed factors, read once for the design's columns.
+
+    At most ``MAX_FACTOR_VALUES`` + 1 values of a factor reach the driver.
+    """
+    parts = [
+        rows.select(F.lit(m).alias("model"), F.lit(n).alias("factor"),
+                    F.col(n).cast("string").alias("value")).distinct().limit(MAX_FACTOR_VALUES + 1)
+        for m, (rows, spec) in inputs.items() for n in spec.factors
+    ]
+    out: dict[str, dict[str, list[str]]] = {m: {n: [] for n in spec.factors}
+                                            for m, (_, spec) in inputs.items()}
+    for r in union_all(parts).collect() if parts else []:
+        out[r["model"]][r["factor"]].append(r["value"])
+    for m, factors in out.items():
+        for n, values in factors.items():
+            if len(values) > MAX_FACTOR_VALUES:
+                raise ValueError(f"{m}: {n} has too many values; make it a grouping factor")
+            values.sort()
     return out
 
 
@@ -129,9 +139,8 @@ def gram(
     xy = [*design.columns, F.col(spec.response).cast("double")]
     k = len(xy)
     base = rows.select(
-        *keys, *spec.groups, w.alias("_w"), *[c.alias(f"_x{i}") for i, c in enumerate(xy)]
+        *keys, *[F.col(g).cast("string").alias(g) for g in spec.groups], w.alias("_w"), *[c.alias(f"_x{i}") for i, c in enumerate(xy)]
     )
-    x = [F.col(f"_x{i}") for i in range(k)]
     none = F.lit(None).cast("string")
 
     def shape(df: DataFrame, fa: Column, la: Column, fb: Column, lb: Column, stats: Column):
@@ -140,39 +149,33 @@ def gram(
             lb.alias("level_b"), stats.alias("stats"),
         )
 
+    def packed(n: int) -> Column:
+        return F.expr(f"array({', '.join(f'_s{i}' for i in range(n))})")
+
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     total = base.groupBy(*keys).agg(
-        *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_s{n}") for n, (i, j) in enumerate(pairs)]
-    )
-    parts = [shape(total, none, none, none, none,
-                   F.array(*[F.col(f"_s{n}") for n in range(len(pairs))]))]
-
-    # One expansion of the rows serves every single factor and every pair.
-    single = list(spec.groups)
-    double = [(a, b) for i, a in enumerate(single) for b in single[i + 1:]]
-    level = {g: F.col(g).cast("string") for g in single}
-    lines = base.select(
-        *keys, "_w", *[f"_x{i}" for i in range(k)],
-        F.explode(F.array(*[
-            F.struct(F.lit(g).alias("factor_a"), level[g].alias("level_a")) for g in single
-        ])).alias("g"),
+        *[F.expr(f"sum(_w * _x{i} * _x{j}) as _s{n}") for n, (i, j) in enumerate(pairs)]
     )
-    one = lines.groupBy(*keys, "g.factor_a", "g.level_a").agg(
-        *[F.sum(F.col("_w") * x[i]).alias(f"_s{i}") for i in range(k)]
+    parts = [shape(total, none, none, none, none, packed(len(pairs)))]
+
+    # Grouping sets read the rows once for all factors, and once for all pairs.
+    # Rows are complete, so a null level means "not grouped by this factor".
+    def named(which: Sequence[str]) -> tuple[Column, Column]:
+        """Name and level of the first factor a row is grouped by."""
+        present = [(g, F.col(g).isNotNull()) for g in which]
+        factor = F.coalesce(*[F.when(here, F.lit(g)) for g, here in present])
+        return factor, F.coalesce(*[F.col(g) for g in which])
+
+    groups = list(spec.groups)
+    by = [*keys, *groups]
+    one = base.groupingSets([[*keys, g] for g in groups], *by).agg(
+        *[F.expr(f"sum(_w * _x{i}) as _s{i}") for i in range(k)]
     )
-    parts.append(shape(one, F.col("factor_a"), F.col("level_a"), none, none,
-                       F.array(*[F.col(f"_s{i}") for i in range(k)])))
+    parts.append(shape(one, *named(groups), none, none, packed(k)))
+    double = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1:]]
     if double:
-        lines = base.select(*keys, "_w", F.explode(F.array(*[
-            F.struct(F.lit(a).alias("factor_a"), level[a].alias("level_a"),
-                     F.lit(b).alias("factor_b"), level[b].alias("level_b"))
-            for a, b in double
-        ])).alias("g"))
-        two = lines.groupBy(*keys, "g.factor_a", "g.level_a", "g.factor_b", "g.level_b").agg(
-            F.sum("_w").alias("_n")
-        )
-        parts.append(shape(two, F.col("factor_a"), F.col("level_a"), F.col("factor_b"),
-                           F.col("level_b"), F.array("_n")))
+        two = base.groupingSets([[*keys, a, b] for a, b in double], *by).agg(F.sum("_w").alias("_n"))
+        parts.append(shape(two, *named(groups), *named(groups[::-1]), F.array("_n")))
     return union_all(parts)
 
 
@@ -206,9 +209,10 @@ def crossed_effects(
     names: dict[str, list[str]] = {}
     groups = {m: list(spec.groups) for m, (_, spec) in models.items()}
     parts = []
-    for model, (plays, spec) in models.items():
-        rows = complete_rows(plays, spec)
-        design = _design(spec, _factor_values(rows, list(spec.factors)))
+    inputs = {m: (complete_rows(plays, spec), spec) for m, (plays, spec) in models.items()}
+    values = _factor_values(inputs)
+    for model, (rows, spec) in inputs.items():
+        design = _design(spec, values[model])
         names[model] = design.names
         parts.append(gram(rows, spec, design, run_keys, weight).withColumn("model", F.lit(model)))
     keys = [*run_keys, "model"]
@@ -217,7 +221,12 @@ def crossed_effects(
 
     sizes = stats.where(F.col("factor_a").isNotNull() & F.col("factor_b").isNull())
     sizes = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("levels"))
-    wide = sizes.where(F.col("levels") > max_grouped_levels).select(*keys)
+    wide = F.col("levels") > max_grouped_levels
+    runs = sizes.agg(F.count(F.lit(1)).alias("all"), F.count_if(wide).alias("wide")).first()
+    # A run is little data but much arithmetic: fix the number of tasks, which
+    # keeps adaptive execution from merging them.
+    cores = stats.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(runs["all"], 4 * cores))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         model = pdf["model"].iloc[0]
@@ -227,16 +236,19 @@ def crossed_effects(
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
+    def grouped(frame: DataFrame) -> DataFrame:
+        return frame.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema)
+
     schema = _fit_schema(stats, keys)
-    if not wide.take(1):
-        return stats.groupBy(*keys).applyInPandas(solve, schema)
+    if not runs["wide"]:
+        return grouped(stats)
 
     from .wide_effects import solve_wide
 
-    wide = settle(wide, "wide_runs")
-    small = stats.join(wide, keys, "left_anti").groupBy(*keys).applyInPandas(solve, schema)
-    large = stats.join(wide, keys, "left_semi")
-    return small.unionByName(solve_wide(large, keys, groups, names, fixed_theta, schema))
+    large = settle(sizes.where(wide).select(*keys), "large_runs")
+    small = grouped(stats.join(large, keys, "left_anti"))
+    rest = solve_wide(stats.join(large, keys, "left_semi"), keys, groups, names, fixed_theta, schema)
+    return small.unionByName(rest)
 
 
 def effects_of(fits: DataFrame, model: str, factor: str) -> DataFrame:
@@ -271,8 +283,20 @@ def rushing_effects(
 
 
 def fit_season_models(tables, specs: Mapping[str, MixedSpec] = WP_MODELS, **options) -> DataFrame:
-    """All four models of every run in one grouped solve."""
-    inputs = {"air": tables.passing, "yac": tables.passing, **rushing_inputs(tables.rushing)}
+    """All four models of every run in one grouped solve.
+
+    The columns the models use are written first: each model reads them several
+    times, and relabelling by joins need not be repeated.
+    """
+    def needed(frame: DataFrame, models: Sequence[str], *more: str) -> DataFrame:
+        cols = dict.fromkeys([*tables.run_keys, *more, *([tables.weight] if tables.weight else [])])
+        for m in models:
+            cols |= dict.fromkeys(specs[m].columns())
+        return settle(frame.select(*cols), f"inputs_{models[0]}")
+
+    passing = needed(tables.passing, ["air", "yac"])
+    rushing = rushing_inputs(needed(tables.rushing, ["qb_rush", "main_rush"], "Rusher_Position"))
+    inputs = {"air": passing, "yac": passing, **rushing}
     return crossed_effects(
         {m: (inputs[m], specs[m]) for m in inputs}, tables.run_keys, tables.weight, **options
     )

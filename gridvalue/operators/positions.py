@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import Tally, ieee_div, null_safe_join, settle
 from .splits import passing_splits, receiving_splits, rushing_splits
@@ -31,10 +32,8 @@ def _appearances(tables: SeasonTables, extra: Sequence[str] = ()) -> DataFrame:
     none = F.lit(None).cast("int")
 
     def role(frame: DataFrame, name: str, kind: str) -> DataFrame:
-        table = table_position(F.col(f"{name}_Position"))
-        if kind == "pass":
-            table = F.lit("QB")
-        elif kind == "target":
+        table = F.lit("QB") if kind == "pass" else table_position(F.col(f"{name}_Position"))
+        if kind == "target":
             table = F.when(table.isin(*NON_QB), table)
         return frame.select(
             *keep,
@@ -146,7 +145,8 @@ def join_position_statistics(tables: SeasonTables) -> SeasonTables:
         out = table.join(first, on, "left").join(rushing, on, "left")
         if position == "QB":
             out = out.withColumn("AdjNetYardsAtt", adj_net_yards())
-        return out.na.fill(0)
+        numbers = [f.name for f in out.schema if f.dataType != T.StringType()]
+        return out.na.fill(0, [n for n in numbers if n not in keys])
 
     return tables.map_positions(attach)
 

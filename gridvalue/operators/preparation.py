@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (
     Tally, ieee_div, if_known, label, null_safe_join, settle, settle_parts, text_flag,
+    union_all,
 )
 from .tables import SeasonTables
 
@@ -162,19 +163,25 @@ def rush_plays(plays: DataFrame) -> DataFrame:
 
 
 def team_rates(
-    plays: DataFrame, run_keys: Sequence[str] = ("Season",), weight: str | None = None
+    passing: DataFrame, rushing: DataFrame, run_keys: Sequence[str] = ("Season",),
+    weight: str | None = None,
 ) -> DataFrame:
-    """Passing and rushing EPA, WPA and attempts per team, in one pass over the plays.
+    """Passing and rushing EPA, WPA and attempts per team, in one aggregation.
 
     A team without plays of one kind has missing values for that kind.
     """
     t = Tally(weight)
-    kinds = {"Pass": is_pass(), "Rush": is_rush()}
+    keep = [*run_keys, "posteam", "EPA", "WPA", *([weight] if weight else [])]
+    rows = union_all(
+        f.select(*keep, F.lit(kind).alias("kind"))
+        for kind, f in (("Pass", passing), ("Rush", rushing))
+    )
+    kinds = {k: F.col("kind") == k for k in ("Pass", "Rush")}
     sums = []
     for kind, cond in kinds.items():
         sums.append(t.rows_where(cond).alias(f"{kind}_Attempts"))
         sums += [t.total(F.when(cond, F.col(m))).alias(f"{kind}_{m}") for m in ("EPA", "WPA")]
-    out = plays.where(is_pass() | is_rush()).groupBy(*run_keys, "posteam").agg(*sums)
+    out = rows.groupBy(*run_keys, "posteam").agg(*sums)
     cols = {}
     for kind in kinds:
         n = F.col(f"{kind}_Attempts")
@@ -186,15 +193,23 @@ def team_rates(
     return out.select(*run_keys, "posteam", *[cols[c].alias(c) for c in order])
 
 
-def prepare_model_data(
-    plays: DataFrame, run_keys: Sequence[str] = ("Season",), weight: str | None = None
+def with_team_rates(
+    passing: DataFrame, rushing: DataFrame, run_keys: Sequence[str] = ("Season",),
+    weight: str | None = None,
 ) -> SeasonTables:
-    """Passing and rushing plays, each with the rates of the team in possession."""
-    rates = settle(team_rates(plays, run_keys, weight), "team_rates")
+    """Modelling plays, each with the rates of the team in possession."""
+    rates = settle(team_rates(passing, rushing, run_keys, weight), "team_rates")
     keys = [*run_keys, "posteam"]
     return SeasonTables(
-        passing=null_safe_join(pass_plays(plays), rates, keys),
-        rushing=null_safe_join(rush_plays(plays), rates, keys),
+        passing=null_safe_join(passing, rates, keys),
+        rushing=null_safe_join(rushing, rates, keys),
         run_keys=tuple(run_keys),
         weight=weight,
     )
+
+
+def prepare_model_data(
+    plays: DataFrame, run_keys: Sequence[str] = ("Season",), weight: str | None = None
+) -> SeasonTables:
+    """Passing and rushing plays with team rates, from plays with model variables."""
+    return with_team_rates(pass_plays(plays), rush_plays(plays), run_keys, weight)

@@ -2,7 +2,8 @@
 
 Passing and receiving are one catalogue seen from two sides; only the words
 differ. Every measure is either an additive total or a ratio of two totals, so
-totals are aggregated once and all ratios are projections.
+totals are aggregated once and all ratios are projections. Expressions are SQL
+text, which reaches the JVM in one call instead of one call per operator.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Tally, ieee_div
+from ..functions import sql_div
 
 DRIVE = ["GameID", "Drive"]
 
@@ -43,64 +44,61 @@ RECEIVING = Words("Targets", "Receptions", "Rec", "Tgt", "Rec", "Caught",
                   "Rec_Perc", "RACR", "Rec_INTs")
 
 
-def _pass_inputs() -> dict[str, tuple[str, Column]]:
+def _pass_inputs() -> dict[str, tuple[str, str]]:
     """Additive parts of a passing play: name -> (kind, expression)."""
-    c = F.col
-    caught = c("Reception")
     parts = {
-        "catches": ("sum", caught),
-        "yards": ("sum", c("Yards_Gained")),
-        "air_yards": ("sum", c("AirYards")),
-        "air_yards_caught": ("sum", caught * c("AirYards")),
-        "yac": ("sum", caught * c("YardsAfterCatch")),
-        "hits": ("sum", c("QBHit")),
-        "picks": ("sum", c("InterceptionThrown")),
-        "tds": ("sum", c("Touchdown")),
-        "air_tds": ("sum", (c("YardsAfterCatch") == 0).cast("int") * c("Touchdown")),
-        "clutch": ("sum", c("EPA") * F.abs(c("WPA"))),
+        "catches": ("sum", "Reception"),
+        "yards": ("sum", "Yards_Gained"),
+        "air_yards": ("sum", "AirYards"),
+        "air_yards_caught": ("sum", "Reception * AirYards"),
+        "yac": ("sum", "Reception * YardsAfterCatch"),
+        "hits": ("sum", "QBHit"),
+        "picks": ("sum", "InterceptionThrown"),
+        "tds": ("sum", "Touchdown"),
+        "air_tds": ("sum", "int(YardsAfterCatch = 0) * Touchdown"),
+        "clutch": ("sum", "EPA * abs(WPA)"),
     }
     for m in ("EPA", "WPA"):
-        parts[m] = ("sum", c(m))
-        parts[f"{m}_up"] = ("count", c(m) > 0)
-        parts[f"{m}_caught"] = ("sum", caught * c(m))
-        parts[f"{m}_abs"] = ("sum", F.abs(c(m)))
-        parts[f"air{m}"] = ("sum", caught * c(f"air{m}"))
-        parts[f"air{m}_up"] = ("count", c(f"air{m}") > 0)
-        parts[f"air{m}_caught_up"] = ("count", caught * c(f"air{m}") > 0)
-        parts[f"yac{m}"] = ("sum", caught * c(f"yac{m}"))
-        parts[f"yac{m}_caught_up"] = ("count", caught * c(f"yac{m}") > 0)
+        parts[m] = ("sum", m)
+        parts[f"{m}_up"] = ("count", f"{m} > 0")
+        parts[f"{m}_caught"] = ("sum", f"Reception * {m}")
+        parts[f"{m}_abs"] = ("sum", f"abs({m})")
+        parts[f"air{m}"] = ("sum", f"Reception * air{m}")
+        parts[f"air{m}_up"] = ("count", f"air{m} > 0")
+        parts[f"air{m}_caught_up"] = ("count", f"Reception * air{m} > 0")
+        parts[f"yac{m}"] = ("sum", f"Reception * yac{m}")
+        parts[f"yac{m}_caught_up"] = ("count", f"Reception * yac{m} > 0")
     return parts
 
 
-def _rush_inputs() -> dict[str, tuple[str, Column]]:
-    c = F.col
+def _rush_inputs() -> dict[str, tuple[str, str]]:
     parts = {
-        "sacks": ("sum", c("Sack")),
-        "yards": ("sum", c("Yards_Gained")),
-        "sack_yards": ("sum", c("Sack") * c("Yards_Gained")),
-        "tds": ("sum", c("Touchdown")),
-        "fumbles": ("sum", c("Fumble")),
-        "clutch": ("sum", c("EPA") * F.abs(c("WPA"))),
+        "sacks": ("sum", "Sack"),
+        "yards": ("sum", "Yards_Gained"),
+        "sack_yards": ("sum", "Sack * Yards_Gained"),
+        "tds": ("sum", "Touchdown"),
+        "fumbles": ("sum", "Fumble"),
+        "clutch": ("sum", "EPA * abs(WPA)"),
     }
     for m in ("EPA", "WPA"):
-        parts[m] = ("sum", c(m))
-        parts[f"{m}_up"] = ("count", c(m) > 0)
-        parts[f"{m}_pos"] = ("sum", (c(m) > 0).cast("int") * c(m))
-        parts[f"{m}_abs"] = ("sum", F.abs(c(m)))
+        parts[m] = ("sum", m)
+        parts[f"{m}_up"] = ("count", f"{m} > 0")
+        parts[f"{m}_pos"] = ("sum", f"int({m} > 0) * {m}")
+        parts[f"{m}_abs"] = ("sum", f"abs({m})")
     return parts
 
 
-def _pass_measures(w: Words, faithful: bool) -> dict[str, Column]:
+def _pass_measures(w: Words, faithful: bool) -> dict[str, str]:
     """All measures of one side, from the totals ``_<part>``."""
-    t = {k: F.col(f"_{k}") for k in ("rows", "drives", *_pass_inputs())}
+    t = {k: f"_{k}" for k in ("rows", "drives", *_pass_inputs())}
     out = {w.rows: t["rows"], w.catches: t["catches"], w.drives: t["drives"],
-           w.share: ieee_div(t["catches"], t["rows"])}
+           w.share: sql_div(t["catches"], t["rows"])}
     bases = {w.per_row: t["rows"], w.per_catch: t["catches"], "Drive": t["drives"]}
 
-    def rates(stem: str, total: Column, drive_word: str = "Drive") -> None:
+    def rates(stem: str, total: str, drive_word: str = "Drive") -> None:
         for word, base in bases.items():
             name = drive_word if word == "Drive" else word
-            out[f"{stem}_per_{name}"] = ieee_div(total, base)
+            out[f"{stem}_per_{name}"] = sql_div(total, base)
 
     out[f"{w.side}_Yards_Gained"] = t["yards"]
     out["Total_AirYards"] = t["air_yards"]
@@ -110,7 +108,7 @@ def _pass_measures(w: Words, faithful: bool) -> dict[str, Column]:
     rates("AirYards", t["air_yards"])
     rates(f"AirYards_{w.per_catch}", t["air_yards_caught"])
     rates("YardsAfterCatch", t["yac"])
-    out[w.efficiency] = ieee_div(t["yards"], t["air_yards"])
+    out[w.efficiency] = sql_div(t["yards"], t["air_yards"])
     if w is PASSING:
         out["Times_Hit"] = t["hits"]
         rates("Times_Hit", t["hits"])
@@ -118,8 +116,8 @@ def _pass_measures(w: Words, faithful: bool) -> dict[str, Column]:
     out[w.picks] = t["picks"]
     out[f"{w.side}_TDs"] = t["tds"]
     out["Air_TDs"] = t["air_tds"]
-    out["Air_TD_Rate"] = ieee_div(t["air_tds"], t["tds"])
-    out["TD_to_INT"] = ieee_div(t["tds"], t["picks"])
+    out["Air_TD_Rate"] = sql_div(t["air_tds"], t["tds"])
+    out["TD_to_INT"] = sql_div(t["tds"], t["picks"])
     rates("TD", t["tds"])
     rates("Air_TD", t["air_tds"])
     rates(w.picks, t["picks"])
@@ -127,35 +125,32 @@ def _pass_measures(w: Words, faithful: bool) -> dict[str, Column]:
         if faithful:
             # Known quirk: touchdowns per attempt count air touchdowns only.
             out["TD_per_Att"] = out["Air_TD_per_Att"]
-        parts = [
-            (out["Comp_Perc"] - 0.3) * 5,
-            (out["Yards_per_Att"] - 3) * 0.25,
-            out["TD_per_Att"] * 20,
-            F.lit(2.375) - out["INTs_per_Att"] * 25,
-        ]
-        out["Passer_Rating"] = (parts[0] + parts[1] + parts[2] + parts[3]) / 6 * 100
+        out["Passer_Rating"] = (
+            f"((({out['Comp_Perc']} - 0.3D) * 5) + (({out['Yards_per_Att']} - 3) * 0.25D)"
+            f" + ({out['TD_per_Att']} * 20) + (2.375D - {out['INTs_per_Att']} * 25)) / 6 * 100"
+        )
 
     for m, good in (("EPA", "Success"), ("WPA", "Win")):
         out[f"{w.side}_{m}"] = t[m]
         rates(f"{w.side}_{m}", t[m])
-        out[f"{w.side}_{good}_Rate"] = ieee_div(t[f"{m}_up"], t["rows"])
+        out[f"{w.side}_{good}_Rate"] = sql_div(t[f"{m}_up"], t["rows"])
         out[f"{w.caught}_{m}"] = t[f"{m}_caught"]
         rates(f"{w.caught}_{m}", t[f"{m}_caught"])
-        out[f"{m}_{w.per_catch}_Perc"] = ieee_div(t[f"{m}_caught"], t[f"{m}_abs"])
+        out[f"{m}_{w.per_catch}_Perc"] = sql_div(t[f"{m}_caught"], t[f"{m}_abs"])
         out[f"Total_air{m}"] = t[f"air{m}"]
         rates(f"air{m}", t[f"air{m}"])
-        out[f"air_{good}_Rate"] = ieee_div(t[f"air{m}_up"], t["rows"])
-        out[f"air_{w.per_catch}_{good}_Rate"] = ieee_div(t[f"air{m}_caught_up"], t["rows"])
+        out[f"air_{good}_Rate"] = sql_div(t[f"air{m}_up"], t["rows"])
+        out[f"air_{w.per_catch}_{good}_Rate"] = sql_div(t[f"air{m}_caught_up"], t["rows"])
         out[f"Total_yac{m}"] = t[f"yac{m}"]
         rates(f"yac{m}", t[f"yac{m}"])
-        out[f"yac_{good}_Rate"] = ieee_div(t[f"yac{m}_caught_up"], t["rows"])
+        out[f"yac_{good}_Rate"] = sql_div(t[f"yac{m}_caught_up"], t["rows"])
     out[f"{w.side}_Clutch_EPA"] = t["clutch"]
     rates(f"{w.side}_Clutch_EPA", t["clutch"], drive_word="Drives")
     return out
 
 
-def _rush_measures() -> dict[str, Column]:
-    t = {k: F.col(f"_{k}") for k in ("rows", "drives", *_rush_inputs())}
+def _rush_measures() -> dict[str, str]:
+    t = {k: f"_{k}" for k in ("rows", "drives", *_rush_inputs())}
     out = {"Rushes": t["rows"], "Sacks": t["sacks"], "Rush_Drives": t["drives"],
            "Rush_Yards_Gained": t["yards"], "Sack_Yards_Lost": t["sack_yards"],
            "Rush_TDs": t["tds"], "Fumbles": t["fumbles"], "Rush_Clutch_EPA": t["clutch"]}
@@ -164,11 +159,11 @@ def _rush_measures() -> dict[str, Column]:
     for m, good in (("EPA", "Success"), ("WPA", "Win")):
         out[f"Rush_{m}"] = t[m]
         stems[f"Rush_{m}"] = t[m]
-        out[f"Rush_{good}_Rate"] = ieee_div(t[f"{m}_up"], t["rows"])
-        out[f"Pos_{m}_Ratio"] = ieee_div(t[f"{m}_pos"], t[f"{m}_abs"])
+        out[f"Rush_{good}_Rate"] = sql_div(t[f"{m}_up"], t["rows"])
+        out[f"Pos_{m}_Ratio"] = sql_div(t[f"{m}_pos"], t[f"{m}_abs"])
     for stem, total in stems.items():
-        out[f"{stem}_per_Rush"] = ieee_div(total, t["rows"])
-        out[f"{stem}_per_Drive"] = ieee_div(total, t["drives"])
+        out[f"{stem}_per_Rush"] = sql_div(total, t["rows"])
+        out[f"{stem}_per_Drive"] = sql_div(total, t["drives"])
     return out
 
 
@@ -179,19 +174,37 @@ KINDS = {
 }
 
 
+def _totals(kind: str, weight: str | None) -> list[str]:
+    """Aggregates of a kind's additive parts; a weight counts copies of a play."""
+    w = weight or "1"
+    out = ["count(1) as _rows" if weight is None else f"sum({w}) as _rows"]
+    for name, (how, x) in KINDS[kind][0]().items():
+        if how == "sum":
+            x = x if weight is None else f"({x}) * {w}"
+            out.append(f"coalesce(sum({x}), 0) as _{name}")
+        else:
+            out.append(f"coalesce(sum(case when {x} then {w} end), 0) as _{name}")
+    return out
+
+
+def _keys(splits: Sequence[str]) -> list:
+    """Fresh key names, since a key may share its name with a measure."""
+    return [F.col(s).alias(f"_key_{s}") for s in splits]
+
+
+def _measured(summed: DataFrame, kind: str, splits: Sequence[str], faithful: bool) -> DataFrame:
+    return summed.selectExpr(
+        *[f"`_key_{s}` as `{s}`" for s in splits],
+        *[f"{x} as `{n}`" for n, x in KINDS[kind][1](faithful).items()],
+    )
+
+
 def _split(
     plays: DataFrame, kind: str, splits: Sequence[str], weight: str | None, faithful: bool
 ) -> DataFrame:
-    inputs, measures = KINDS[kind]
-    t = Tally(weight)
-    totals = [t.rows().alias("_rows"), F.count_distinct(F.struct(*DRIVE)).alias("_drives")]
-    for name, (how, x) in inputs().items():
-        agg = t.total(x) if how == "sum" else t.rows_where(x)
-        totals.append(agg.alias(f"_{name}"))
-    # Fresh key names: a key may share its name with a measure.
-    summed = plays.groupBy(*[F.col(s).alias(f"_key_{s}") for s in splits]).agg(*totals)
-    keys = [F.col(f"_key_{s}").alias(s) for s in splits]
-    return summed.select(*keys, *[c.alias(n) for n, c in measures(faithful).items()])
+    drives = f"count(distinct struct({', '.join(DRIVE)})) as _drives"
+    totals = [F.expr(x) for x in [*_totals(kind, weight), drives]]
+    return _measured(plays.groupBy(*_keys(splits)).agg(*totals), kind, splits, faithful)
 
 
 def passing_splits(
@@ -222,11 +235,7 @@ def drive_totals(plays: DataFrame, kind: str, splits: Sequence[str]) -> DataFram
     Every measure is a function of these totals, so replicates weight drives
     instead of repeating plays.
     """
-    t = Tally()
-    totals = [t.rows().alias("_rows")]
-    for name, (how, x) in KINDS[kind][0]().items():
-        agg = t.total(x) if how == "sum" else t.rows_where(x)
-        totals.append(agg.alias(f"_{name}"))
+    totals = [F.expr(x) for x in _totals(kind, None)]
     return plays.groupBy(*splits, *[d for d in DRIVE if d not in splits]).agg(*totals)
 
 
@@ -235,10 +244,6 @@ def measures_from_drives(
 ) -> DataFrame:
     """Measures per split from weighted drive totals (one row per split and drive)."""
     names = ["rows", *KINDS[kind][0]()]
-    w = F.col(weight)
-    summed = totals.groupBy(*[F.col(s).alias(f"_key_{s}") for s in splits]).agg(
-        F.count(F.lit(1)).alias("_drives"),
-        *[F.sum(F.col(f"_{n}") * w).alias(f"_{n}") for n in names],
-    )
-    keys = [F.col(f"_key_{s}").alias(s) for s in splits]
-    return summed.select(*keys, *[c.alias(n) for n, c in KINDS[kind][1](faithful).items()])
+    sums = [F.expr(f"sum(_{n} * {weight}) as _{n}") for n in names]
+    summed = totals.groupBy(*_keys(splits)).agg(F.expr("count(1) as _drives"), *sums)
+    return _measured(summed, kind, splits, faithful)

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from ..functions import settle
-
 
 @dataclass(frozen=True)
 class PositionTables:
@@ -40,7 +38,7 @@ class SeasonTables:
     te: DataFrame | None = None
     run_keys: tuple[str, ...] = ("Season",)
     weight: str | None = None
-    fits: DataFrame | None = field(default=None)
+    fits: DataFrame | None = None
 
     def positions(self) -> dict[str, DataFrame]:
         named = {"QB": self.qb, "RB": self.rb, "WR": self.wr, "TE": self.te}
@@ -51,9 +49,3 @@ class SeasonTables:
 
     def map_positions(self, fn: Callable[[str, DataFrame], DataFrame]) -> SeasonTables:
         return self.with_positions({k: fn(k, v) for k, v in self.positions().items()})
-
-    def settle_plays(self) -> SeasonTables:
-        """Write the modelling plays, which every later stage reads."""
-        return replace(
-            self, passing=settle(self.passing, "passing"), rushing=settle(self.rushing, "rushing")
-        )

@@ -11,7 +11,9 @@ from ..functions import settle
 from ..operators.bootstrap import simulate_seasons
 from ..operators.effects import EP_MODELS, WP_MODELS, MixedSpec
 from ..operators.positions import add_position_tables, join_position_statistics
-from ..operators.preparation import add_model_variables, add_positions, prepare_model_data
+from ..operators.preparation import (
+    add_model_variables, add_positions, pass_plays, rush_plays, with_team_rates,
+)
 from ..operators.replacement import (
     DEFAULT_RULES, Rule, find_replacement_level, reuse_replacement_level,
 )
@@ -29,11 +31,33 @@ def model_plays(
     return settle(add_model_variables(add_positions(plays, rosters, run_keys)), "model_plays")
 
 
+# The columns the pipeline reads from passing and rushing plays.
+_BOTH = ["GameID", "Drive", "posteam", "DefensiveTeam", "Home_Ind", "Shotgun_Ind",
+         "No_Huddle_Ind", "Yards_Gained", "Touchdown", "EPA", "WPA"]
+_PASSING = ["qtr", "TimeSecs", "Passer_ID_Name", "Receiver_ID_Name", "Receiver_Position",
+            "PassLocation", "Reception", "AirYards", "YardsAfterCatch", "QBHit",
+            "InterceptionThrown", "airEPA", "airWPA", "yacEPA", "yacWPA", "airEPA_Result",
+            "airWPA_Result", "yacEPA_Result", "yacWPA_Result"]
+_RUSHING = ["Rusher_ID_Name", "Rusher_Position", "Team_Side_Gap", "Sack", "Fumble"]
+
+
 def season_tables(
-    plays: DataFrame, run_keys: Sequence[str] = ("Season",), weight: str | None = None
+    plays: DataFrame, run_keys: Sequence[str] = ("Season",), weight: str | None = None,
+    specs: Mapping[str, MixedSpec] | None = None,
 ) -> SeasonTables:
-    """Modelling plays and player tables."""
-    return add_position_tables(prepare_model_data(plays, run_keys, weight).settle_plays())
+    """Player tables and modelling plays, written with the columns later stages read.
+
+    ``specs`` adds the columns its models use, if the plays have them.
+    """
+    extra = {c for spec in (specs or {}).values() for c in spec.columns()} & set(plays.columns)
+
+    def written(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
+        keep = [*run_keys, *([weight] if weight else []), *_BOTH, *columns, *sorted(extra)]
+        return settle(frame.select(*dict.fromkeys(keep)), name)
+
+    passing = written(pass_plays(plays), _PASSING, "passing")
+    rushing = written(rush_plays(plays), _RUSHING, "rushing")
+    return add_position_tables(with_team_rates(passing, rushing, run_keys, weight))
 
 
 def wins_from_probability(
@@ -42,10 +66,10 @@ def wins_from_probability(
     statistics: bool = True, **options,
 ) -> SeasonTables:
     """Season WAR on the win-probability scale, with split statistics."""
-    tables = season_tables(plays, run_keys)
+    tables = season_tables(plays, run_keys, specs=specs)
     if statistics:
         tables = join_position_statistics(tables)
-    tables = find_replacement_level(tables, rules).settle_plays()
+    tables = find_replacement_level(tables, rules)
     return prob_to_wins(above_replacement(estimate_value_added(tables, specs, **options)))
 
 
@@ -55,8 +79,8 @@ def wins_from_points(
     **options,
 ) -> SeasonTables:
     """Season WAR on the expected-points scale, priced per season."""
-    tables = season_tables(plays, run_keys)
-    tables = find_replacement_level(tables, rules).settle_plays()
+    tables = season_tables(plays, run_keys, specs=specs)
+    tables = find_replacement_level(tables, rules)
     tables = above_replacement(estimate_value_added(tables, specs, **options))
     seasons = plays.select("Season").distinct()
     played = games.join(seasons, "Season", "left_semi")
@@ -76,10 +100,10 @@ def bootstrap_wins(
     the statistics of replacement players; ``statistics_first`` keeps them.
     """
     def one(drawn: DataFrame, keys: tuple[str, ...], weight: str) -> SeasonTables:
-        tables = season_tables(drawn, keys, weight)
+        tables = season_tables(drawn, keys, weight, specs)
         if statistics and statistics_first:
             tables = join_position_statistics(tables)
-        tables = reuse_replacement_level(tables, stored).settle_plays()
+        tables = reuse_replacement_level(tables, stored)
         if statistics and not statistics_first:
             tables = join_position_statistics(tables)
         tables = estimate_value_added(tables, specs, return_models=False, **options)

@@ -70,7 +70,8 @@ def tables(spark, sf) -> SeasonTables:
 @_stage
 def pooled(spark, sf) -> SeasonTables:
     """The same after pooling replacement players."""
-    out = replacement.find_replacement_level(tables(spark, sf)).settle_plays()
+    out = replacement.find_replacement_level(tables(spark, sf))
+    out = replace(out, passing=settle(out.passing, "passing"), rushing=settle(out.rushing, "rushing"))
     return out.map_positions(lambda p, t: settle(t, f"flagged_{p}"))
 
 
@@ -105,7 +106,7 @@ def season_results(spark, sf) -> SeasonTables:
     """Stored season: win-probability WAR with statistics."""
     t = tables(spark, sf)
     t = positions.join_position_statistics(t)
-    t = replacement.find_replacement_level(t).settle_plays()
+    t = replacement.find_replacement_level(t)
     t = value.add_value(t, season_fits(spark, sf))
     t = value.prob_to_wins(value.above_replacement(t))
     return t.map_positions(lambda p, x: settle(x, f"season_{p}"))
@@ -121,9 +122,13 @@ def _years(spark, sf) -> list[int]:
 
 
 def rounded(df: DataFrame, columns: list[str] | None = None, digits: int = 10) -> DataFrame:
-    """Round doubles whose last bits depend on the order of addition."""
+    """Round doubles whose last bits depend on the order of addition.
+
+    A shift far below the last digit keeps exact halves off the rounding edge.
+    """
     names = columns or [f.name for f in df.schema if f.dataType.simpleString() == "double"]
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    shift = F.lit(10.0 ** -(digits + 3))
+    return df.withColumns({n: F.round(F.col(n) + shift, digits) for n in names})
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -224,7 +229,8 @@ def rush_plays(spark, sf):
 
 @query
 def team_rates(spark, sf):
-    return preparation.team_rates(model_plays(spark, sf))
+    plays = model_plays(spark, sf)
+    return preparation.team_rates(preparation.pass_plays(plays), preparation.rush_plays(plays))
 
 
 @query

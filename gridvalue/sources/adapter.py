@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import spread
+
 PLAYS_SQL = """
 with b as (
  select l.l_orderkey, l.l_partkey, l.l_linenumber, l.l_returnflag, l.l_linestatus,
@@ -72,7 +74,10 @@ join {nation} ns on ns.n_nationkey=(c_nationkey+1+o_orderkey % 24) % 25
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = ("lineitem", "orders", "supplier", "nation", "customer", "part")
     used = [n for n in names if f"{{{n}}}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in used})
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in used}
+    if "lineitem" in tables:
+        tables["lineitem"] = spread(tables["lineitem"])
+    return spark.sql(sql, **tables)
 
 
 def plays_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

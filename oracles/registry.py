@@ -14,7 +14,7 @@ def _tagged(rules: dict[str, str]) -> str:
 
 
 def _round(names: list[str], digits: int = 10) -> str:
-    return ", ".join(f'round("{n}", {digits}) "{n}"' for n in names)
+    return ", ".join(f'round("{n}" + 1e-{digits + 3}, {digits}) "{n}"' for n in names)
 
 
 def _filled(select: str) -> str:
@@ -44,7 +44,7 @@ left join ({pass_split("passes", '"Season", "Passer_ID_Name"', "Pass")}) p
 left join ({rush_split("rushes", '"Season", "Rusher_ID_Name"')}) u
  on u."Season" = t."Season" and u."Rusher_ID_Name" = t."Player_ID_Name" """
 
-_RATING = '* replace (round("Passer_Rating", 10) as "Passer_Rating")'
+_RATING = '* replace (round("Passer_Rating" + 1e-13, 10) as "Passer_Rating")'
 _QB_SPLIT = pass_split("passes", '"Season", "Passer_ID_Name"', "Pass")
 _QB_BOOT = pass_split("sim_passes_rows", '"Season", "Passer_ID_Name", sim_id', "Pass")
 _METRICS = ["Comp_Perc", "Yards_per_Att", "Pass_EPA_per_Att", "Pass_Success_Rate"]
@@ -140,18 +140,18 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
         + "".join(f""" union all by name select {_VALUE}, "Replacement_Level_Receiver", "Replacement_Level_Rusher",
  "Player_Model_ID_Rec", "Player_Model_ID_Rush" from {p}_f""" for p in ("RB", "WR", "TE")),
     "oneway_effects": " union all ".join(
-        f"select \"Season\", '{m}' \"model\", '{f}' \"factor\", lv \"level\", round(est, 10) \"estimate\" from u_{u}"
+        f"select \"Season\", '{m}' \"model\", '{f}' \"factor\", lv \"level\", round(est + 1e-13, 10) \"estimate\" from u_{u}"
         for u, m, f in (("air_P", "air", "Passer_ID_Name"), ("yac_P", "yac", "Passer_ID_Name"),
                         ("air_R", "air", "Receiver_ID_Name"), ("yac_R", "yac", "Receiver_ID_Name"),
                         ("rush_P", "qb_rush", "Rusher_ID_Name"), ("rush_R", "main_rush", "Rusher_ID_Name"))),
     "value_added_oneway": f"select {_VALUE}, {_round([f'{f}_{m}' for m in ('iPA', 'iPAA') for f in _FACETS])} from valued",
     "above_replacement": f"select {_VALUE}, {_round([f'{f}_iPAR' for f in (*_FACETS, 'total')])} from above",
-    "prob_to_wins": f"select {_VALUE}, " + ", ".join(f'round("{f}_iPAR", 10) "{f}_WAR"' for f in (*_FACETS, "total")) + " from above",
+    "prob_to_wins": f"select {_VALUE}, " + ", ".join(f'round("{f}_iPAR" + 1e-13, 10) "{f}_WAR"' for f in (*_FACETS, "total")) + " from above",
     "points_to_wins": 'select x."Season", "Player_ID_Name", "Position", '
-        + ", ".join(f'round("{f}_iPAR" / price, 10) "{f}_WAR"' for f in (*_FACETS, "total"))
+        + ", ".join(f'round("{f}_iPAR" / price + 1e-13, 10) "{f}_WAR"' for f in (*_FACETS, "total"))
         + ' from above x join ppw p on p."Season" = x."Season"',
-    "points_per_win": """select "Season", round(price, 6) points_per_win from ppw
- union all select null, round(1 / regr_slope("Wins", "Total_Score_Diff"), 6) from standings""",
+    "points_per_win": """select "Season", round(price + 1e-9, 6) points_per_win from ppw
+ union all select null, round(1 / regr_slope("Wins", "Total_Score_Diff") + 1e-9, 6) from standings""",
     "resample_plays": """select "Season", posteam, sim_id, "GameID", "Drive", "PlayType", cast(sum(copies) as bigint) copies
  from play_units join play_draws using ("Season", posteam, u) group by all""",
     "resample_drives": """select p."Season", p.posteam, sim_id, "GameID", "Drive", "PlayType", cast(sum(copies) as bigint) copies
@@ -163,7 +163,7 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
     "unpivot_stats": " union all ".join(
         f"select \"Season\", \"Passer_ID_Name\", '{m}' \"Metric\", \"{m}\" \"Value\" from ({_QB_SPLIT})" for m in _METRICS),
     "metric_reliability": f"""
-select d."Metric", round(d.v, 6) "Discrimination", round(s.v, 6) "Stability" from (
+select d."Metric", round(d.v + 1e-9, 6) "Discrimination", round(s.v + 1e-9, 6) "Stability" from (
  select "Metric", case when count(x) = count(*) then avg(x) end v from (
   select "Season", "Metric", 1 - avg(bv) / var_samp("Value") x from joined_metrics group by all) group by all) d
 join (select "Metric", 1 - avg(pv - bv) / (max(tv) - avg(bv)) v from joined_metrics group by all) s using ("Metric")""",

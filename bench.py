@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # one solve per task, not per core
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ONLY = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
@@ -23,6 +24,8 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+        # HotSpot never compiles larger methods; smaller generated ones run faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -10,10 +10,17 @@ from .semantics import (
     text_flag,
     union_all,
 )
-from .storage import clear_settled, settle, settle_parts, shared_folder, spread
+from .storage import (
+    clear_settled,
+    scratch_tables,
+    settle,
+    settle_parts,
+    shared_folder,
+    spread,
+)
 
 __all__ = [
     "Tally", "clear_settled", "ieee_div", "if_known", "is_number", "label",
-    "null_safe_join", "number_rows", "prefix_sum", "settle", "settle_parts",
+    "null_safe_join", "number_rows", "prefix_sum", "scratch_tables", "settle", "settle_parts",
     "shared_folder", "spread", "sql_div", "text_flag", "top_rows", "union_all",
 ]

@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_open_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,14 +40,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/gridvalue/{sc.applicationId}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and return the written table.
+
+    Inside :func:`scratch_tables` the table is deleted at the end, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes and not keep:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables settled inside, once their results are written."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle_parts(parts: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
     """Write several frames of one schema in a single job; return each of them."""
     tagged = None
@@ -66,6 +90,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def clear_settled(spark: SparkSession) -> None:
     """Delete every table this application has settled."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, shared_folder(spark))

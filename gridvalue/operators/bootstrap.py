@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import label, number_rows, settle, union_all
+from ..functions import label, number_rows, scratch_tables, settle, union_all
 from .tables import PositionTables, SeasonTables
 
 SIM = "sim_id"
@@ -125,9 +125,12 @@ def simulate_seasons(
     results = []
     for start in range(1, n_sims + 1, sims_per_batch):
         n = min(sims_per_batch, n_sims + 1 - start)
-        drawn = resample(plays, n, run_keys, seed, start, units)
-        tables = pipeline(drawn, (*run_keys, SIM), COPIES)
-        results.append({k: settle(v, f"sim_{k}") for k, v in tables.positions().items()})
+        with scratch_tables(plays.sparkSession):
+            drawn = resample(plays, n, run_keys, seed, start, units)
+            tables = pipeline(drawn, (*run_keys, SIM), COPIES)
+            results.append({
+                k: settle(v, f"sim_{k}", keep=True) for k, v in tables.positions().items()
+            })
     return stack_results(results)
 
 

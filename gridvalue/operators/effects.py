@@ -22,7 +22,7 @@ from ..functions import settle, union_all
 from . import reml
 
 MAX_FACTOR_VALUES = 200  # a fixed factor with more values is a grouping factor
-MAX_GROUPED_LEVELS = 4000  # above this many levels a run is solved across tasks
+MAX_GROUPED_LEVELS = 2000  # above this many levels a run is solved across tasks
 
 
 @dataclass(frozen=True)

@@ -442,12 +442,19 @@ def value_added_oneway(spark, sf):
     return rounded(season.all_positions(out, _value_columns("iPA", "iPAA")))
 
 
+def _bounds(t: SeasonTables) -> DataFrame:
+    names = [f"{s}_{f}_{m}" for f in value.FACETS for s in ("Lower", "Upper") for m in ("iPA", "iPAA")]
+    return season.all_positions(value.effect_intervals(t), ["Season", "Player_ID_Name", "Position", *names])
+
+
 @query
 def effect_intervals(spark, sf):
-    out = value.add_value(pooled(spark, sf), season_fits(spark, sf))
-    out = value.effect_intervals(out)
-    names = [f"{s}_{f}_{m}" for f in value.FACETS for s in ("Lower", "Upper") for m in ("iPA", "iPAA")]
-    return season.all_positions(out, ["Season", "Player_ID_Name", "Position", *names])
+    return _bounds(value.add_value(pooled(spark, sf), season_fits(spark, sf)))
+
+
+@query
+def effect_intervals_oneway(spark, sf):
+    return rounded(_bounds(value.add_value(pooled(spark, sf), oneway_fits(spark, sf))), digits=9)
 
 
 @query

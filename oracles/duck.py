@@ -396,13 +396,15 @@ THETA = 0.25
 
 
 def oneway(src: str, level: str, y: str, where: str = "true", keys: str = '"Season"') -> str:
-    """Shrunken effects of a one-way random-intercept model with a given sd ratio."""
-    t2 = THETA * THETA
+    """Effects and conditional sds of a one-way random-intercept model with a given sd ratio."""
+    t2 = f"cast({THETA * THETA} as double)"
     return f"""
-select {keys}, lv, cast({t2} as double) * n / (1 + cast({t2} as double) * n) * (m - mu) est from (
- select *, sum(wt * m) over (partition by {keys}) / sum(wt) over (partition by {keys}) mu from (
-  select {keys}, "{level}" lv, cast(count(*) as double) n, avg("{y}") m,
-   count(*) / (1 + cast({t2} as double) * count(*)) wt from {src} where "{y}" is not null and {where} group by {keys}, "{level}"))
+select {keys}, lv, {t2} * n / (1 + {t2} * n) * (m - mu) est, sqrt(s2 * {t2} / (1 + {t2} * n)) sd from (
+ select *, sum(ss - 2 * mu * n * m + n * mu * mu - {t2} / (1 + {t2} * n) * (n * (m - mu)) ** 2)
+   over (partition by {keys}) / (sum(n) over (partition by {keys}) - 1) s2 from (
+  select *, sum(wt * m) over (partition by {keys}) / sum(wt) over (partition by {keys}) mu from (
+   select {keys}, "{level}" lv, cast(count(*) as double) n, avg("{y}") m, sum("{y}" * "{y}") ss,
+    count(*) / (1 + {t2} * count(*)) wt from {src} where "{y}" is not null and {where} group by {keys}, "{level}")))
 """
 
 
@@ -429,6 +431,7 @@ def _valued(pos: str) -> str:
 select x."Season", x."Player_ID_Name", x."Position", x."{rec}" rec_id, x."{rush}" rush_id,
  cast({n_air} as double) n_air, cast({n_rush} as double) n_rush,
  coalesce(a.est, 0) "air_iPA", coalesce(y.est, 0) "yac_iPA", coalesce(r.est, 0) "rush_iPA",
+ coalesce(a.sd, 0) air_sd, coalesce(y.sd, 0) yac_sd, coalesce(r.sd, 0) rush_sd,
  {n_air} * coalesce(a.est, 0) "air_iPAA", {n_air} * coalesce(y.est, 0) "yac_iPAA", {n_rush} * coalesce(r.est, 0) "rush_iPAA"
 from {pos}_f x left join u_air_{s} a on a."Season" = x."Season" and a.lv = x."{rec}"
 left join u_yac_{s} y on y."Season" = x."Season" and y.lv = x."{rec}"

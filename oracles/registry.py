@@ -145,6 +145,10 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
                         ("air_R", "air", "Receiver_ID_Name"), ("yac_R", "yac", "Receiver_ID_Name"),
                         ("rush_P", "qb_rush", "Rusher_ID_Name"), ("rush_R", "main_rush", "Rusher_ID_Name"))),
     "value_added_oneway": f"select {_VALUE}, {_round([f'{f}_{m}' for m in ('iPA', 'iPAA') for f in _FACETS])} from valued",
+    "effect_intervals_oneway": f"select {_VALUE}, " + ", ".join(
+        f'round({n} ("{f}_iPA" {sign} 2 * {f}_sd) + 1e-12, 9) "{side}_{f}_{m}"'
+        for f in _FACETS for side, sign in (("Lower", "-"), ("Upper", "+"))
+        for m, n in (("iPA", ""), ("iPAA", f"n_{'rush' if f == 'rush' else 'air'} *"))) + " from valued",
     "above_replacement": f"select {_VALUE}, {_round([f'{f}_iPAR' for f in (*_FACETS, 'total')])} from above",
     "prob_to_wins": f"select {_VALUE}, " + ", ".join(f'round("{f}_iPAR" + 1e-13, 10) "{f}_WAR"' for f in (*_FACETS, "total")) + " from above",
     "points_to_wins": 'select x."Season", "Player_ID_Name", "Position", '

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import label, number_rows, scratch_tables, settle, union_all
@@ -19,35 +19,50 @@ from .tables import PositionTables, SeasonTables
 
 SIM = "sim_id"
 COPIES = "copies"
-UNIT = "_unit"
+UNIT = "_unit"    # unique over all teams
+PLACE = "_place"  # 1..n within the team
+SIZE = "_size"    # n
+START = "_start"  # units of the teams before
 
 
 def hashed_position(n: Column, *parts: Column) -> Column:
     """A position in 1..n from 60 bits of an MD5 hash of the parts."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
     bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return bits % n + 1
+    # Never missing; saying so spares joins a null check that hashes every row again.
+    return F.coalesce(bits % n + 1, F.lit(1))
+
+
+def number_units(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add the unit's place in its team, the team's number of units, and a number
+    that is unique over all teams (place + units of the teams before)."""
+    numbered = settle(number_rows(df, list(keys), list(order), PLACE), name)
+    # One row per team and run, so ordering all of them is a small task.
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    teams = settle(
+        numbered.groupBy(*keys).agg(F.max(PLACE).alias(SIZE)).withColumn(
+            START, F.coalesce(F.sum(SIZE).over(before), F.lit(0))),
+        "team_units",
+    )
+    return numbered.join(teams, list(keys)).withColumn(UNIT, F.col(START) + F.col(PLACE))
 
 
 def draw_copies(
-    numbered: DataFrame, keys: Sequence[str], n_sims: int, seed: int = 0,
-    first_sim: int = 1, unit: str = UNIT,
+    units: DataFrame, keys: Sequence[str], n_sims: int, seed: int = 0, first_sim: int = 1
 ) -> DataFrame:
-    """(keys, sim_id, unit, copies) for units numbered 1..n within ``keys``.
+    """(sim_id, unit, copies) drawn from numbered units.
 
-    Each numbered unit also serves as the slot of the same number, so the draws
-    of a large team are generated where its units lie.
+    Each unit also serves as the slot of the same place, so the draws of a large
+    team are generated where its units lie. Draws are two numbers, shuffled once, by
+    unit: counting copies and joining units or plays by unit need no other shuffle.
     """
-    sizes = settle(numbered.groupBy(*keys).agg(F.max(unit).alias("_size")), "team_units")
     sims = F.sequence(F.lit(first_sim), F.lit(first_sim + n_sims - 1))
-    slots = numbered.select(*keys, F.col(unit).alias("_slot")).join(sizes, list(keys))
-    slots = slots.withColumn(SIM, F.explode(sims))
+    slots = units.select(*keys, PLACE, SIZE, START, F.explode(sims).alias(SIM))
     drawn = hashed_position(
-        F.col("_size"), F.lit(seed), F.col(SIM), *[F.col(k) for k in keys], F.col("_slot")
-    )
-    return slots.withColumn(unit, drawn).groupBy(*keys, SIM, unit).agg(
-        F.count(F.lit(1)).alias(COPIES)
+        F.col(SIZE), F.lit(seed), F.col(SIM), *[F.col(k) for k in keys], F.col(PLACE)
     )
+    draws = slots.select(SIM, (F.col(START) + drawn).alias(UNIT)).repartition(UNIT)
+    return draws.groupBy(SIM, UNIT).agg(F.count(F.lit(1)).alias(COPIES))
 
 
 def drive_units(plays: DataFrame, run_keys: Sequence[str] = ("Season",)) -> DataFrame:
@@ -56,7 +71,7 @@ def drive_units(plays: DataFrame, run_keys: Sequence[str] = ("Season",)) -> Data
     drives = plays.where(F.col("posteam").isNotNull()).select(
         *keys, label("GameID", "Drive").alias("Game_Drive")
     ).distinct()
-    return settle(number_rows(drives, keys, [F.col("Game_Drive")], UNIT), "drive_units")
+    return number_units(drives, keys, [F.col("Game_Drive")], "drive_units")
 
 
 def resample_drives(
@@ -67,7 +82,7 @@ def resample_drives(
     keys = [*run_keys, "posteam"]
     units = drive_units(plays, run_keys) if units is None else units
     copies = draw_copies(units, keys, n_sims, seed, first_sim)
-    weights = copies.join(units, [*keys, UNIT]).select(*keys, "Game_Drive", SIM, COPIES)
+    weights = copies.join(units.select(*keys, "Game_Drive", UNIT), UNIT).drop(UNIT)
     weights = settle(weights, "drawn_drives")
     tagged = plays.withColumn("Game_Drive", label("GameID", "Drive"))
     return tagged.join(weights, [*keys, "Game_Drive"]).drop("Game_Drive")
@@ -85,8 +100,8 @@ def play_units(
     teams = plays.where(F.col("posteam").isNotNull())
     teams = settle(teams.withColumn("_row", F.monotonically_increasing_id()), "rows")
     by = [F.col(c) for c in order if c not in run_keys and c != "posteam"]
-    numbered = number_rows(teams, [*run_keys, "posteam"], [*by, F.col("_row")], UNIT)
-    return settle(numbered.drop("_row"), "play_units")
+    units = number_units(teams, [*run_keys, "posteam"], [*by, F.col("_row")], "play_units")
+    return units.drop("_row")
 
 
 def resample_plays(
@@ -97,7 +112,7 @@ def resample_plays(
     keys = [*run_keys, "posteam"]
     units = play_units(plays, run_keys, order_by) if units is None else units
     copies = settle(draw_copies(units, keys, n_sims, seed, first_sim), "drawn_plays")
-    return units.join(copies, [*keys, UNIT]).drop(UNIT)
+    return units.join(copies, UNIT).drop(UNIT, PLACE, SIZE, START)
 
 
 def expand_copies(plays: DataFrame) -> DataFrame:
@@ -154,8 +169,8 @@ def bootstrap_splits(
     keys = [*run_keys, "posteam"]
     units = drive_units(plays, run_keys) if units is None else units
     totals = drive_totals(plays, kind, [*splits, *[k for k in keys if k not in splits]])
-    totals = settle(totals.withColumn("Game_Drive", label("GameID", "Drive")), "drive_totals")
-    copies = draw_copies(units, keys, n_sims, seed)
-    weights = copies.join(units, [*keys, UNIT]).drop(UNIT)
-    weighted = totals.join(weights, [*keys, "Game_Drive"])
+    totals = totals.withColumn("Game_Drive", label("GameID", "Drive"))
+    own = units.select(*keys, "Game_Drive", UNIT)
+    totals = settle(totals.join(own, [*keys, "Game_Drive"]).drop("Game_Drive"), "drive_totals")
+    weighted = totals.join(draw_copies(units, keys, n_sims, seed), UNIT)
     return measures_from_drives(weighted, kind, [*splits, SIM], COPIES)

@@ -89,7 +89,8 @@ def test_replicates_keep_the_number_of_units(spark, sf):
     plays_ = registry.model_plays(spark, sf)
     units = boot.drive_units(plays_)
     copies = boot.draw_copies(units, ["Season", "posteam"], 5, seed=1)
-    drawn = copies.groupBy("Season", "posteam", "sim_id").agg(F.sum("copies").alias("n"))
+    drawn = copies.join(units, boot.UNIT).groupBy("Season", "posteam", "sim_id").agg(
+        F.sum("copies").alias("n"))
     size = units.groupBy("Season", "posteam").agg(F.count(F.lit(1)).alias("m"))
     assert drawn.join(size, ["Season", "posteam"]).where("n <> m").count() == 0
     assert drawn.select("sim_id").distinct().count() == 5

@@ -51,6 +51,14 @@ def query(fn):
     return fn
 
 
+def named(name: str):
+    """Register under a name that an import of this module already uses."""
+    def register(fn):
+        QUERIES[name] = fn
+        return fn
+    return register
+
+
 @_stage
 def raw_plays(spark, sf) -> DataFrame:
     return settle(plays_from_tables(spark, sf), "plays")
@@ -142,13 +150,13 @@ def _exported(spark, df: DataFrame, name: str, rename: dict[str, str] | None = N
     return folder + "/year={year}"
 
 
-@query
+@named("load_plays")
 def load_plays_csv(spark, sf):
     template = _exported(spark, raw_plays(spark, sf), "plays", {"Yards_Gained": "Yards.Gained"})
     return load_plays(spark, template, _years(spark, sf))
 
 
-@query
+@named("load_rosters")
 def load_rosters_csv(spark, sf):
     listed = rosters_from_tables(spark, sf)
     years = F.array(*[F.lit(y) for y in _years(spark, sf)])
@@ -156,7 +164,7 @@ def load_rosters_csv(spark, sf):
     return load_rosters(spark, template, _years(spark, sf))
 
 
-@query
+@named("load_games")
 def load_games_csv(spark, sf):
     template = _exported(spark, games_from_tables(spark, sf), "games")
     return load_games(spark, template, _years(spark, sf))
@@ -579,7 +587,7 @@ def unpivot_stats(spark, sf):
     return reliability.unpivot_stats(_qb_stats(spark, sf), ["Season", "Passer_ID_Name"], METRICS)
 
 
-@query
+@named("reliability")
 def metric_reliability(spark, sf):
     drawn = boot.bootstrap_splits(
         tables(spark, sf).passing, "passing", ["Season", "Passer_ID_Name"], SIMS, seed=SEED,
@@ -589,7 +597,7 @@ def metric_reliability(spark, sf):
     return rounded(out, digits=6)
 
 
-@query
+@named("independence")
 def metric_independence(spark, sf):
     return reliability.independence(_qb_stats(spark, sf), "Pass_Attempts", 10, METRICS)
 

@@ -81,9 +81,9 @@ select "Season", "Passer_ID_Name" "first", "Receiver_ID_Name" "second", count(*)
 union all select "Season", "Rusher_ID_Name", null, count(*) from pooled_rushes group by all"""
 
 _FINAL: dict[str, str] = {
-    "load_plays_csv": "select * from plays",
-    "load_rosters_csv": "select * from rosters",
-    "load_games_csv": "select * from games",
+    "load_plays": "select * from plays",
+    "load_rosters": "select * from rosters",
+    "load_games": "select * from games",
     "write_read_season": " union all ".join(
         f'select {_VALUE}, "Total_Plays" from {p}_t' for p in ("QB", "RB", "WR", "TE")),
     "fix_team_code": """
@@ -166,7 +166,7 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
     "stack_results": f'select sim_id, "Season", "Player_ID_Name", "Pass_Attempts", "Sacks" from ({_SIM_QB})',
     "unpivot_stats": " union all ".join(
         f"select \"Season\", \"Passer_ID_Name\", '{m}' \"Metric\", \"{m}\" \"Value\" from ({_QB_SPLIT})" for m in _METRICS),
-    "metric_reliability": f"""
+    "reliability": f"""
 select d."Metric", round(d.v + 1e-9, 6) "Discrimination", round(s.v + 1e-9, 6) "Stability" from (
  select "Metric", case when count(x) = count(*) then avg(x) end v from (
   select "Season", "Metric", 1 - avg(bv) / var_samp("Value") x from joined_metrics group by all) group by all) d

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, fingerprints, language, simhash, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +19,27 @@ def query(fn):
     return fn
 
 
+@query
+def op1_fingerprints(spark, sf):
+    return fingerprints.edit_report(table(spark, sf, "documents"))
+
+
 @query
 def op6_decontamination(spark, sf):
     return decontaminate.leak_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op7_token_files(spark, sf):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return token_files.token_report(table(spark, sf, "documents"), f.read())
+
+
 @query
 def op9_simhash(spark, sf):
     return simhash.near_duplicate_report(table(spark, sf, "documents"))
+
+
+@query
+def op10_language(spark, sf):
+    return language.held_out_report(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, simhash, token_files
+from . import chat, decontaminate, fingerprints, language, sharding, simhash, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def op1_fingerprints(spark, sf):
     return fingerprints.edit_report(table(spark, sf, "documents"))
 
 
+@query
+def op2_chat(spark, sf):
+    return chat.format_chats(table(spark, sf, "conversations"))
+
+
+ORACLES["op2_chat"] = chat.ORACLE_SQL
+
+
+@query
+def op5_sharding(spark, sf):
+    return sharding.shard_report(table(spark, sf, "documents"))
+
+
 @query
 def op6_decontamination(spark, sf):
     return decontaminate.leak_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

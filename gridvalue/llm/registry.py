@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, sharding, simhash, token_files
+from . import chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op7_token_files(spark, sf):
         return token_files.token_report(table(spark, sf, "documents"), f.read())
 
 
+@query
+def op8_html_text(spark, sf):
+    return html_text.extract_pages(table(spark, sf, "pages"))
+
+
 @query
 def op9_simhash(spark, sf):
     return simhash.near_duplicate_report(table(spark, sf, "documents"))

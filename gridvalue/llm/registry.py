@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files
+from . import chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,14 @@ def op2_chat(spark, sf):
 ORACLES["op2_chat"] = chat.ORACLE_SQL
 
 
+@query
+def op4_url_filter(spark, sf):
+    return url_filter.filter_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_filter"] = url_filter.oracle_sql()
+
+
 @query
 def op5_sharding(spark, sf):
     return sharding.shard_report(table(spark, sf, "documents"))

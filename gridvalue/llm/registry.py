@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files, url_filter
+from . import bpe, chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op2_chat(spark, sf):
 ORACLES["op2_chat"] = chat.ORACLE_SQL
 
 
+@query
+def op3_bpe(spark, sf):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.round_trip_report(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query
 def op4_url_filter(spark, sf):
     return url_filter.filter_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")

@@ -3,7 +3,8 @@
 A bounded sample of keys gives splitters; a row's bucket is the number of splitters
 not above its key, found by binary search in a literal array. Rows with one key
 share a bucket. There are several buckets a task, so hash partitioning deals them
-out evenly. The rows with the last (first) key of a bucket also go to the next
+out evenly, and a task for every ``ROWS_PER_PARTITION`` rows. The sample, and so what
+goes to the driver, is bounded by ``MOST_BUCKETS``; beyond that buckets grow. The rows with the last (first) key of a bucket also go to the next
 (previous) bucket, so a task sees across its edges without another pass.
 """
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import free_prefix
 
+ROWS_PER_PARTITION = 20_000
 BUCKETS_PER_PARTITION = 8
+MOST_BUCKETS = 1 << 16
 SAMPLE_PER_BUCKET = 20
 
 
@@ -61,8 +64,10 @@ def in_order(
     kind = f"struct<{','.join(f'k{i}:{kinds[k]}' for i, k in enumerate(keys))}>"
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     only = df.select(*keys)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = SAMPLE_PER_BUCKET * buckets / max(only.count(), 1)
+    rows = only.count()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
+    buckets = min(BUCKETS_PER_PARTITION * partitions, MOST_BUCKETS)
+    share = SAMPLE_PER_BUCKET * buckets / max(rows, 1)
     picked = only.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(min(share, 1) * (1 << 20)) + 1)
     sample = [r["k"] for r in picked.select(key.alias("k")).orderBy("k").collect()]
     step = max(len(sample) // buckets, 1)
@@ -77,7 +82,7 @@ def in_order(
         to = F.concat(to, *_carried(ends, before, after, ring, key, F.col(f"{p}bucket"), names, kind, len(splitters) + 1))
     sent = placed.withColumn(f"{p}to", F.explode(to))
     sent = sent.withColumn(f"{p}side", F.col(f"{p}to.side")).withColumn(f"{p}bucket", F.col(f"{p}to.bucket"))
-    dealt = sent.drop(f"{p}to").repartition(F.col(f"{p}bucket")).sortWithinPartitions(
+    dealt = sent.drop(f"{p}to").repartition(partitions, F.col(f"{p}bucket")).sortWithinPartitions(
         f"{p}bucket", f"{p}side", *[F.col(k).asc_nulls_first() for k in [*keys, *(ties or [])]])
     return dealt, f"{p}bucket", f"{p}side", len(splitters) + 1
 

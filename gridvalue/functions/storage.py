@@ -14,12 +14,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
-_open_scopes: list[list[str]] = []
+#: Folders of the open scopes of this thread or task context, innermost last.
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,8 +49,9 @@ def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open_scopes and not keep:
-        _open_scopes[-1].append(path)
+    scopes = _open_scopes.get()
+    if scopes and not keep:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +59,13 @@ def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables settled inside, once their results are written."""
-    _open_scopes.append([])
+    own: list[str] = []
+    token = _open_scopes.set((*_open_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _open_scopes.pop():
+        _open_scopes.reset(token)
+        for path in own:
             _delete(spark, path)
 
 

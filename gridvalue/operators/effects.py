@@ -22,7 +22,6 @@ from ..functions import settle, union_all
 from . import reml
 
 MAX_FACTOR_VALUES = 200  # a fixed factor with more values is a grouping factor
-MAX_GROUPED_LEVELS = 2000  # above this many levels a run is solved across tasks
 
 
 @dataclass(frozen=True)
@@ -196,15 +195,16 @@ def crossed_effects(
     run_keys: Sequence[str] = ("Season",),
     weight: str | None = None,
     theta: Mapping[str, Sequence[float]] | None = None,
-    max_grouped_levels: int = MAX_GROUPED_LEVELS,
+    max_grouped_levels: int | None = None,
 ) -> DataFrame:
     """Fit several models for every run; one long table of results.
 
     Returns (run keys, model, kind, factor, level, estimate, sd). ``theta`` fixes
     the relative standard deviations of a model's grouping factors, in their
-    declared order, instead of estimating them. Runs with more than
-    ``max_grouped_levels`` levels are solved with the largest factor left
-    distributed; see :mod:`gridvalue.operators.wide_effects`.
+    declared order, instead of estimating them. Every run is solved in a task of its
+    own, whatever its size, unless ``max_grouped_levels`` is given: runs with more
+    levels than that are then solved with the largest factor left distributed, see
+    :mod:`gridvalue.operators.wide_effects`, whose estimates differ in their last digits.
     """
     names: dict[str, list[str]] = {}
     groups = {m: list(spec.groups) for m, (_, spec) in models.items()}
@@ -221,7 +221,7 @@ def crossed_effects(
 
     sizes = stats.where(F.col("factor_a").isNotNull() & F.col("factor_b").isNull())
     sizes = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("levels"))
-    wide = F.col("levels") > max_grouped_levels
+    wide = F.lit(False) if max_grouped_levels is None else F.col("levels") > max_grouped_levels
     runs = sizes.agg(F.count(F.lit(1)).alias("all"), F.count_if(wide).alias("wide")).first()
     # A run is little data but much arithmetic: fix the number of tasks, which
     # keeps adaptive execution from merging them.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -93,9 +94,13 @@ def roster_positions(
     """Attach the roster position of each role.
 
     A player listed at several positions repeats the play once per position
-    (``"fanout"``) or keeps the first position in byte order (``"first"``).
+    (``"fanout"``) or keeps the first position in byte order (``"first"``). Rosters
+    without a run key that the plays have, such as the season, hold for all its values;
+    a warning says so, since a player who changed position then fans out everywhere.
     """
     keys = [k for k in run_keys if k in rosters.columns]
+    if pooled := [k for k in run_keys if k in plays.columns and k not in keys]:
+        warnings.warn(f"rosters hold for every {', '.join(pooled)}", stacklevel=2)
     listed = rosters.select(*keys, "GSIS_ID", "Pos").distinct()
     if on_multi_position == "first":
         listed = listed.groupBy(*keys, "GSIS_ID").agg(F.min("Pos").alias("Pos"))

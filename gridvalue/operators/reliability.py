@@ -84,6 +84,10 @@ def reliability(
     return null_safe_join(discrimination(rows), stability(rows), ["Metric"])
 
 
+#: Relative size below which an eigenvalue of a correlation matrix counts as 0.
+RANK_TOL = 1e-10
+
+
 def normal_scores(values: DataFrame) -> DataFrame:
     """(Metric, Value, score): normal quantile of the mean rank over n + 1.
 
@@ -130,11 +134,33 @@ def copula_correlation(
 
 
 def conditional_variance(c: np.ndarray, target: int, given: list[int]) -> float:
-    """Variance of one variable given others, from their correlation matrix."""
+    """Variance of one variable given others, from their correlation matrix.
+
+    Equal or linearly dependent predictors count once: eigenvalues below ``RANK_TOL``
+    times the largest are left out. The variance is 0 or more.
+    """
     if not given:
         return float(c[target, target])
     cross = c[target, given]
-    return float(c[target, target] - cross @ np.linalg.solve(c[np.ix_(given, given)], cross))
+    inverse = np.linalg.pinv(c[np.ix_(given, given)], rcond=RANK_TOL, hermitian=True)
+    return max(float(c[target, target] - cross @ inverse @ cross), 0.0)
+
+
+def valid_correlation(flat: list) -> np.ndarray:
+    """The nearest matrix (by clipped eigenvalues) that is a correlation matrix.
+
+    Pairs without a correlation, as with a constant metric, count as uncorrelated. A
+    matrix that is valid already is returned unchanged.
+    """
+    p = round(len(flat) ** 0.5)
+    c = np.nan_to_num(np.array([np.nan if x is None else x for x in flat], float).reshape(p, p))
+    np.fill_diagonal(c, 1.0)
+    values, axes = np.linalg.eigh(c)
+    if values.min() >= -RANK_TOL:
+        return c
+    c = (axes * np.maximum(values, 0.0)) @ axes.T
+    scale = np.sqrt(np.diag(c))
+    return c / scale[:, None] / scale[None, :]
 
 
 def cond_var(
@@ -147,7 +173,7 @@ def cond_var(
     def per_batch(batches):
         for pdf in batches:
             for flat in pdf["matrix"]:
-                c = np.array(flat, float).reshape(len(metrics), len(metrics))
+                c = valid_correlation(list(flat))
                 value = conditional_variance(c, index[target], picks)
                 yield pd.DataFrame({"Metric": [target], "Conditional_Variance": [value]})
 
@@ -173,7 +199,7 @@ def independence(
 
     def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
         p = len(names)
-        corr = np.array(pdf["matrix"].iloc[0], float).reshape(p, p)
+        corr = valid_correlation(list(pdf["matrix"].iloc[0]))
         target = int(pdf["i"].iloc[0])
         kept = [j for j in range(p) if j != target]
         values = {1: 1.0}

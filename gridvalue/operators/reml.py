@@ -122,7 +122,7 @@ def drop_to_zero(f, t: np.ndarray, slack: float = 1e-6) -> np.ndarray:
 
 
 def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
-                    spread: float = 1e-6, max_steps: int = 600) -> np.ndarray:
+                    spread: float = 1e-6, max_steps: int = 2000) -> np.ndarray:
     """Nelder-Mead minimum of ``f``."""
     k = len(start)
     points = [start] + [start + step * np.eye(k)[i] * max(abs(start[i]), 0.2) for i in range(k)]
@@ -132,7 +132,7 @@ def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
         order = np.argsort(val, kind="stable")
         pts, val = pts[order], val[order]
         if val[-1] - val[0] <= tol and np.ptp(pts, axis=0).max() < spread:
-            break
+            return pts[0]
         centre = pts[:-1].mean(axis=0)
         far = centre - pts[-1]
         reflected = centre + far
@@ -151,7 +151,7 @@ def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
             else:
                 pts[1:] = pts[0] + 0.5 * (pts[1:] - pts[0])
                 val[1:] = [f(x) for x in pts[1:]]
-    return pts[np.argmin(val)]
+    raise RuntimeError(f"the minimum was not found in {max_steps} steps; last value {val.min()}")
 
 
 class Profile:
@@ -207,7 +207,7 @@ def fit(system: System, names: list[str], theta: list[float] | None = None) -> p
     rows, counts = system.big_rows[:, cols], system.big_n
     p = len(fixed)
     if system.n <= p:
-        return result_rows([], [], [])
+        raise ValueError(f"a model with {p} fixed terms needs more than {system.n:g} rows")
 
     def eliminate(t: float):
         w = t * t / (t * t * counts + 1.0)

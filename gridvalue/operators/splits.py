@@ -242,8 +242,12 @@ def drive_totals(plays: DataFrame, kind: str, splits: Sequence[str]) -> DataFram
 def measures_from_drives(
     totals: DataFrame, kind: str, splits: Sequence[str], weight: str, faithful: bool = True
 ) -> DataFrame:
-    """Measures per split from weighted drive totals (one row per split and drive)."""
+    """Measures per split from weighted drive totals.
+
+    A split without the team may hold several rows of one drive label, which count as
+    one drive.
+    """
     names = ["rows", *KINDS[kind][0]()]
     sums = [F.expr(f"sum(_{n} * {weight}) as _{n}") for n in names]
-    summed = totals.groupBy(*_keys(splits)).agg(F.expr("count(1) as _drives"), *sums)
+    summed = totals.groupBy(*_keys(splits)).agg(F.expr(f"count(distinct struct({', '.join(DRIVE)})) as _drives"), *sums)
     return _measured(summed, kind, splits, faithful)

@@ -161,7 +161,7 @@ def load_rosters_csv(spark, sf):
     listed = rosters_from_tables(spark, sf)
     years = F.array(*[F.lit(y) for y in _years(spark, sf)])
     template = _exported(spark, listed.withColumn("Season", F.explode(years)), "rosters")
-    return load_rosters(spark, template, _years(spark, sf))
+    return load_rosters(spark, template, _years(spark, sf), by_season=False)
 
 
 @named("load_games")
@@ -215,6 +215,18 @@ def add_positions(spark, sf):
                       "Rusher_ID_Name", "Passer_Position", "Receiver_Position", "Rusher_Position")
 
 
+@query
+def add_positions_by_season(spark, sf):
+    """Rosters of each season: receivers change position from odd to even seasons."""
+    plays = raw_plays(spark, sf)
+    even = (F.col("Season") % 2 == 0) & (F.col("Pos") == "WR")
+    rosters = rosters_from_tables(spark, sf).withColumn(
+        "Season", F.explode(F.array(*[F.lit(y) for y in _years(spark, sf)]))).withColumn(
+        "Pos", F.when(even, "TE").otherwise(F.col("Pos")))
+    out = preparation.add_positions(plays, rosters)
+    return out.groupBy("Season", "Receiver_Position").agg(F.count(F.lit(1)).alias("plays"))
+
+
 @query
 def model_vars(spark, sf):
     return model_plays(spark, sf).select(
@@ -547,6 +559,31 @@ def bootstrap_splits(spark, sf):
     return rounded(out, ["Passer_Rating"])
 
 
+@query
+def bootstrap_splits_receiving(spark, sf):
+    out = boot.bootstrap_splits(
+        tables(spark, sf).passing, "receiving", ["Season", "Receiver_ID_Name"], SIMS, seed=SEED,
+        units=boot.drive_units(model_plays(spark, sf)))
+    return out.select("Season", "Receiver_ID_Name", "sim_id", "Targets", "Receptions", "Rec_Drives")
+
+
+@query
+def bootstrap_splits_rushing(spark, sf):
+    out = boot.bootstrap_splits(
+        tables(spark, sf).rushing, "rushing", ["Season", "Rusher_ID_Name"], SIMS, seed=SEED,
+        units=boot.drive_units(model_plays(spark, sf)))
+    return out.select("Season", "Rusher_ID_Name", "sim_id", "Rushes", "Sacks", "Rush_Drives")
+
+
+@query
+def bootstrap_splits_season(spark, sf):
+    """A split without the team: drive labels that several teams share count once."""
+    out = boot.bootstrap_splits(
+        tables(spark, sf).passing, "passing", ["Season"], SIMS, seed=SEED,
+        units=boot.drive_units(model_plays(spark, sf)))
+    return out.select("Season", "sim_id", "Pass_Attempts", "Pass_Drives")
+
+
 def _drawn_tables(drawn: DataFrame, keys: tuple[str, ...], weight: str) -> SeasonTables:
     return season.season_tables(drawn, keys, weight)
 
@@ -606,3 +643,11 @@ def metric_independence(spark, sf):
 def cond_var(spark, sf):
     c = reliability.copula_correlation(_qb_stats(spark, sf), "Pass_Attempts", 10, METRICS)
     return reliability.cond_var(c, METRICS, METRICS[0], METRICS[1:])
+
+
+@query
+def independence_matrix(spark, sf):
+    """Wide form, with two metrics that are equal by definition."""
+    metrics = [*METRICS, "TD_per_Att", "Air_TD_per_Att"]
+    long = reliability.independence(_qb_stats(spark, sf), "Pass_Attempts", 10, metrics)
+    return reliability.independence_matrix(long, metrics)

@@ -25,9 +25,16 @@ GAMES = {"GameID": T.LongType(), "Season": T.IntegerType(), "home": T.StringType
          "away": T.StringType(), "homescore": T.IntegerType(), "awayscore": T.IntegerType()}
 
 
-def _typed(raw: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
-    """Keep the declared columns, cast, with dotted names and empty text repaired."""
+def _typed(raw: DataFrame, columns: dict[str, T.DataType], optional: Iterable[str] = ()) -> DataFrame:
+    """Keep the declared columns, cast, with dotted names and empty text repaired.
+
+    Columns named ``optional`` may be absent and are then null; any other absence is
+    an error.
+    """
     found = {c.replace(".", "_"): c for c in raw.columns}
+    absent = [c for c in columns if c not in found and c not in set(optional)]
+    if absent:
+        raise ValueError(f"columns missing: {', '.join(absent)}")
     out = []
     for name, kind in columns.items():
         if name not in found:
@@ -37,14 +44,15 @@ def _typed(raw: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
         if raw.schema[found[name]].dataType == T.StringType():
             c = F.when(~c.isin("", "NA"), c)
             if isinstance(kind, (T.IntegerType, T.LongType)):
-                c = c.cast("double")  # integers may be written as 1.0
+                # Integers may be written as 1.0; others stay exact at any size.
+                c = F.when(c.rlike(r"[.eE]"), c.cast("double").cast("long")).otherwise(c.cast("long"))
         out.append(c.cast(kind).alias(name))
     return raw.select(*out)
 
 
 def _read_years(
     spark: SparkSession, template: str, years: Iterable[int],
-    columns: dict[str, T.DataType], file_format: str, tag: bool,
+    columns: dict[str, T.DataType], file_format: str, tag: bool, optional: Iterable[str] = (),
 ) -> DataFrame:
     frames = []
     for year in years:
@@ -53,20 +61,27 @@ def _read_years(
             raw = spark.read.csv(path, header=True, nullValue="NA", multiLine=False)
         else:
             raw = spark.read.parquet(path)
-        frame = _typed(raw, columns)
+        frame = _typed(raw, columns, optional)
         frames.append(frame.withColumn("Season", F.lit(int(year))) if tag else frame)
     return union_all(frames)
 
 
 def load_plays(spark: SparkSession, template: str, years: Iterable[int],
-               file_format: str = "csv") -> DataFrame:
-    """Plays of the given years; ``template`` holds ``{year}`` in its path."""
-    return _read_years(spark, template, years, PLAYS, file_format, tag=False)
+               file_format: str = "csv", optional: Iterable[str] = ()) -> DataFrame:
+    """Plays of the given years; ``template`` holds ``{year}`` in its path.
+
+    Columns named ``optional`` may be absent from the files.
+    """
+    return _read_years(spark, template, years, PLAYS, file_format, False, optional)
 
 
 def load_rosters(spark: SparkSession, template: str, years: Iterable[int],
-                 file_format: str = "csv", by_season: bool = False) -> DataFrame:
-    """Distinct (player id, position) pairs, pooled or kept per season."""
+                 file_format: str = "csv", by_season: bool = True) -> DataFrame:
+    """Distinct (player id, position) pairs of each season, or pooled over all.
+
+    A player whose position changed must be read by season: pooled, both positions
+    match the plays of every season.
+    """
     return _read_years(spark, template, years, ROSTERS, file_format, tag=by_season).distinct()
 
 

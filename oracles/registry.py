@@ -96,6 +96,8 @@ select "Season", case when posteam = 'GERMANY' and "Season" = 1995 then 'GER' wh
     "sack_as_rush": 'select "Season", "PlayType", "Rusher_ID", "Rusher", "Rusher_Name", "Rusher_ID_Name", count(*) n from sacked group by all',
     "add_positions": """select "Season", "GameID", "Drive", "PlayType", "Passer_ID_Name", "Receiver_ID_Name", "Rusher_ID_Name",
  "Passer_Position", "Receiver_Position", "Rusher_Position" from placed""",
+    "add_positions_by_season": """select "Season", case when "Receiver_Position" = 'WR' and "Season" % 2 = 0 then 'TE'
+ else "Receiver_Position" end "Receiver_Position", count(*) plays from placed group by all""",
     "model_vars": """select "Season", "GameID", "Drive", "Shotgun_Ind", "No_Huddle_Ind", "Home_Ind", "airEPA_Result", "airWPA_Result",
  "yacEPA_Result", "yacWPA_Result", "RunGap", "Team_Side_Gap" from annot""",
     "pass_plays": 'select "Season", "GameID", "Drive", posteam, "Passer_ID_Name", "Receiver_ID_Name", "Receiver_Position", "EPA", "WPA" from passes',
@@ -162,6 +164,12 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
  from annot p join drive_copies d on d."Season" = p."Season" and d.posteam = p.posteam
  and gd = coalesce(cast("GameID" as varchar), 'NA') || '-' || coalesce(cast("Drive" as varchar), 'NA') group by all""",
     "bootstrap_splits": f"select {_RATING} from ({_QB_BOOT})",
+    "bootstrap_splits_receiving": """select "Season", "Receiver_ID_Name", sim_id, "Targets", "Receptions", "Rec_Drives" from ("""
+        + pass_split("sim_passes_rows", '"Season", "Receiver_ID_Name", sim_id', "Rec") + ")",
+    "bootstrap_splits_rushing": """select "Season", "Rusher_ID_Name", sim_id, "Rushes", "Sacks", "Rush_Drives" from ("""
+        + rush_split("sim_rushes_rows", '"Season", "Rusher_ID_Name", sim_id') + ")",
+    "bootstrap_splits_season": """select "Season", sim_id, "Pass_Attempts", "Pass_Drives" from ("""
+        + pass_split("sim_passes_rows", '"Season", sim_id', "Pass") + ")",
     "bootstrap_pipeline": f'select "Season", sim_id, "Player_ID_Name", "Position", "Rush_Attempts", "Total_Plays" from ({_SIM_QB}) union all {_SIM_SKILL}',
     "stack_results": f'select sim_id, "Season", "Player_ID_Name", "Pass_Attempts", "Sacks" from ({_SIM_QB})',
     "unpivot_stats": " union all ".join(

@@ -90,3 +90,28 @@ def test_ties_win_nothing_and_strict_sums(spark):
         (1, "A", 1, 7), (1, "B", 0, -7), (2, "A", None, None), (2, "B", None, None),
         (2016, "B", 0, -6), (2016, "JAX", 1, 6)], key=repr)
     assert points_per_win(games).first()[0] > 0
+
+
+def test_positions_follow_the_season(spark):
+    df = plays(spark, [{"Season": 2015, "PlayType": "Pass", "Receiver_ID": "r", "Receiver": "R"},
+                       {"Season": 2016, "PlayType": "Pass", "Receiver_ID": "r", "Receiver": "R"}])
+    rosters = spark.createDataFrame([("r", "WR", 2015), ("r", "TE", 2016)], "GSIS_ID string, Pos string, Season int")
+    out = prep.add_positions(df, rosters)
+    assert values(out, "Season", "Receiver_Position") == [(2015, "WR"), (2016, "TE")]
+
+
+def test_readers_keep_ids_and_miss_no_column(spark, tmp_path):
+    import pytest
+
+    from gridvalue.sources import load_games, load_rosters
+
+    for year, pos in ((2015, "WR"), (2016, "TE")):
+        (tmp_path / f"r{year}.csv").write_text(f"GSIS_ID,Pos\nr,{pos}\n")
+    (tmp_path / "g2015.csv").write_text(
+        "GameID,Season,home,away,homescore,awayscore\n9007199254740993,2015,A,B,1,2\n9007199254740992,2015,A,B,3.0,NA\n")
+    (tmp_path / "h2015.csv").write_text("GameID,Season\n1,2015\n")
+    assert values(load_rosters(spark, f"{tmp_path}/r{{year}}.csv", [2015, 2016]), "Pos", "Season") == [("TE", 2016), ("WR", 2015)]
+    games = load_games(spark, f"{tmp_path}/g{{year}}.csv", [2015])
+    assert values(games, "GameID", "homescore", "awayscore") == [(9007199254740992, 3, None), (9007199254740993, 1, 2)]
+    with pytest.raises(ValueError, match="homescore"):
+        load_games(spark, f"{tmp_path}/h{{year}}.csv", [2015])

@@ -57,3 +57,16 @@ def test_independence_finds_the_redundant_metric(spark):
     corr = rel.copula_correlation(spark.createDataFrame(pdf), "n", 1, names)
     one = rel.cond_var(corr, names, "d", ["a", "b", "c"]).first()
     assert one["Conditional_Variance"] == pytest.approx(m.loc["d", "4"])
+
+
+def test_equal_metrics_are_no_obstacle():
+    import numpy as np
+
+    from gridvalue.operators.reliability import conditional_variance, valid_correlation
+
+    c = np.array([[1, 0.5, 0.5], [0.5, 1, 1], [0.5, 1, 1.0]])
+    assert abs(conditional_variance(c, 0, [1, 2]) - 0.75) < 1e-9
+    assert abs(conditional_variance(c, 1, [0, 2])) < 1e-9
+    bad = valid_correlation([1, 0.9, -0.9, 0.9, 1, 0.9, -0.9, 0.9, 1])
+    assert np.linalg.eigvalsh(bad).min() > -1e-9 and np.allclose(np.diag(bad), 1)
+    assert valid_correlation([1, None, None, 1]).tolist() == [[1, 0], [0, 1]]

@@ -46,6 +46,7 @@ NAMED = frozenset((
     "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
 
 KEEP, DROP, OPEN = 1, -1, 0
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
 _NOT_LETTERS = re.compile(r"[^a-z]+")
 
@@ -120,7 +121,8 @@ class _Lines(HTMLParser):
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(line, verdict) in page order; white space inside a line is one space."""
     parser = _Lines()
-    parser.feed(html.replace("<![", "<!x["))  # the library's parser fails on other marked sections
+    # The library's parser fails on marked sections, and reads a tag cut off at the end as text.
+    parser.feed(_CUT_TAG.sub("", html).replace("<![", "<!x["))
     parser.close()
     return parser.lines
 

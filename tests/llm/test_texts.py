@@ -61,11 +61,11 @@ def test_op3_equals_library(spark, sf, documents, coder):
     assert len(got) == len(documents)
 
 
-@pytest.mark.parametrize("limit", [0, 4])
-def test_bpe_odd_texts(odd, ranks, coder, limit):
-    """The ids do not depend on which words the broadcast holds."""
+@pytest.mark.parametrize("limit, rare", [(0, "task"), (4, "task"), (0, "spark"), (4, "spark")])
+def test_bpe_odd_texts(odd, ranks, coder, limit, rare):
+    """The ids do not depend on which words the broadcast holds, nor on who folds the rest."""
     made = bpe.decode(bpe.encode(
-        odd.withColumn("ids", F.lit("clash")), ranks, public_tokenizers.PATTERN, limit=limit), ranks)
+        odd.withColumn("ids", F.lit("clash")), ranks, public_tokenizers.PATTERN, limit=limit, rare=rare), ranks)
     rows = made.collect()
     assert sorted(made.columns) == ["decoded", "doc_id", "ids", "text"] and len(rows) == len(ODD)
     for r in rows:
@@ -73,6 +73,12 @@ def test_bpe_odd_texts(odd, ranks, coder, limit):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_fold_of_any_bytes(ranks, coder):
+    words = ["a" * 2000, "é漢" * 300, "qxzjv" * 100, "thethethe", "\u00ad", "😀" * 50]
+    assert [bpe.fold_bytes(w.encode(), ranks) for w in words] == [
+        coder._encode_single_piece(w) for w in words]
+
+
 def test_bpe_empty_table(spark, odd, ranks):
     assert bpe.round_trip_report(odd.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
     words = spark.createDataFrame([("",), (None,), ("the",)], "word string")

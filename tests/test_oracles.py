@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridvalue import registry
+from oracles import registry as oracle_registry
 
 TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem"]
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(registry.QUERIES), oracle_registry.oracle_sql()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 

@@ -11,6 +11,7 @@ sum of two stored numbers.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import types
@@ -20,8 +21,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,64 +49,41 @@ def worker_state(name: str, make: Callable[[], object]):
 
 
 class Encoder:
-    """The tokenizers library behind a cache of pieces and words.
+    """The tokenizers library behind a cache of pieces.
 
     A piece is what a space followed by another character starts; the byte-level
-    pre-tokenizer always splits there, so a text's ids are its pieces' ids in turn. A
-    new piece is cut into words by the pre-tokenizer's pattern, and the library encodes
-    the words that are new, too. Texts with an added token's string are encoded whole.
+    pre-tokenizer always splits there, so a text's ids are its pieces' ids in turn.
+    Texts with an added token's string are encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.find = regex.compile(pattern).findall
-        #: Pieces, and words that begin with a space, without that space; other words.
+        #: Pieces without their leading space.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _word(self, word: str) -> bytes | None:
-        if word[0] != " " or len(word) == 1:
-            return self.bare.get(word)
-        return self.young.get(word[1:]) or self.old.get(word[1:])
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(itertools.accumulate(map(len, ids), initial=0))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1]).tobytes()
+        return [flat[4 * s:4 * e] for s, e in itertools.pairwise(ends)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Put pieces, given without their leading space, into the young generation."""
-        cut, new = [], {}
-        for p in pieces:
-            ids = self.old.get(p)
-            if ids is not None:
-                self.young[p] = ids
-                continue
-            words = [f" {p}"] if p.isalpha() else self.find(f" {p}")
-            cut.append((p, words))
-            for w in words:
-                if w not in new and self._word(w) is None:
-                    new[w] = b""
-        new.update(zip(new, self._library(list(new))))
-        for w, ids in new.items():
-            if w[0] != " " or len(w) == 1:
-                self.bare[w] = ids
-            else:
-                self.young[w[1:]] = ids
-        for p, words in cut:
-            if len(words) > 1 or p not in self.young:
-                self.young[p] = b"".join([new.get(w) or self._word(w) for w in words])
+        """Put pieces into the young generation."""
+        old = self.old
+        known = {p: old[p] for p in pieces if p in old}
+        new = [p for p in pieces if p not in known] if known else pieces
+        self.young.update(known)
+        self.young.update(zip(new, self._library([f" {p}" for p in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > CACHED_PIECES // 2:
             self.old, self.young = self.young, {}
-        if len(self.bare) > CACHED_PIECES // 8:
-            self.bare = {}
         get, heads, bodies, gaps = self.young.get, [], [], []
         for text in texts:
             if self.added and self.added.search(text):
@@ -119,23 +95,25 @@ class Encoder:
             ids = list(map(get, parts))
             heads.append(head)
             bodies.append(ids)
-            if None in ids:
-                gaps.append((ids, [(i, p) for i, (p, x) in enumerate(zip(parts, ids)) if x is None]))
-        self._learn(list(dict.fromkeys(p for _, own in gaps for _, p in own)))
-        for ids, own in gaps:
-            for i, p in own:
-                ids[i] = self.young[p]
+            at, missing = -1, []
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                missing.append(at)
+            gaps.append((ids, missing, [parts[i] for i in missing]))
+        self._learn(list(dict.fromkeys(itertools.chain.from_iterable(own for _, _, own in gaps))))
+        for ids, missing, own in gaps:
+            for i, x in zip(missing, map(get, own)):
+                ids[i] = x
         return [head + b"".join(ids) for head, ids in zip(self._library(heads), bodies)]
 
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_json: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
-    pattern: str = public_tokenizers.PATTERN,
 ) -> None:
     """Write ``folder``/tokens (key, range, place, n_tokens, ids) and ``folder``/manifest
     (range, start).
 
-    ``pattern`` is that of the tokenizer's byte-level pre-tokenizer. A null text is empty; every document ends with ``end_id``. Ranges ascend by key,
+    A null text is empty; every document ends with ``end_id``. Ranges ascend by key,
     nulls first, and so do the rows of a range; equal keys stand in order of text.
     """
     spark = docs.sparkSession
@@ -146,7 +124,7 @@ def write_token_files(
     name = f"encoder-{zlib.crc32(tokenizer_json.encode())}"
 
     def encode(batches):
-        encoder = worker_state(name, lambda: Encoder(shared.value, pattern))
+        encoder = worker_state(name, lambda: Encoder(shared.value))
         now, place = None, 0
         for batch in batches:
             for part in slices(batch, "text"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_slice, slices, text_column
+from .common import add_by_slice, slices
 from .ordered import in_order
 
 #: Primes and bases: the first pair alone makes the samples.

@@ -121,9 +121,32 @@ def drop_to_zero(f, t: np.ndarray, slack: float = 1e-6) -> np.ndarray:
     return t
 
 
+#: Differences of the criterion that count as none when the steps run out, and how
+#: often a simplex that has collapsed elsewhere starts anew from its best point.
+FLAT = 1e-6
+RESTARTS = 8
+
+
 def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
-                    spread: float = 1e-6, max_steps: int = 2000) -> np.ndarray:
-    """Nelder-Mead minimum of ``f``."""
+                    spread: float = 1e-6, max_steps: int = 600) -> np.ndarray:
+    """Nelder-Mead minimum of ``f``; raises if it is not found.
+
+    A simplex may lose its shape against the boundary at 0 and creep; it then starts
+    anew around its best point, and is done when that no longer improves ``f``.
+    """
+    best, found, value = _simplex(f, start, step, tol, spread, max_steps)
+    for _ in range(RESTARTS):
+        if found:
+            return best
+        before = value
+        best, found, value = _simplex(f, best, step, tol, spread, max_steps)
+        if before - value <= FLAT:
+            return best
+    raise RuntimeError(f"the minimum was not found in {RESTARTS + 1} times {max_steps} steps")
+
+
+def _simplex(f, start, step, tol, spread, max_steps) -> tuple[np.ndarray, bool, float]:
+    """Best point, whether the simplex has contracted on it, and its value."""
     k = len(start)
     points = [start] + [start + step * np.eye(k)[i] * max(abs(start[i]), 0.2) for i in range(k)]
     pts = np.array(points)
@@ -132,7 +155,7 @@ def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
         order = np.argsort(val, kind="stable")
         pts, val = pts[order], val[order]
         if val[-1] - val[0] <= tol and np.ptp(pts, axis=0).max() < spread:
-            return pts[0]
+            return pts[0], True, val[0]
         centre = pts[:-1].mean(axis=0)
         far = centre - pts[-1]
         reflected = centre + far
@@ -151,7 +174,8 @@ def simplex_minimum(f, start: np.ndarray, step: float = 0.5, tol: float = 1e-9,
             else:
                 pts[1:] = pts[0] + 0.5 * (pts[1:] - pts[0])
                 val[1:] = [f(x) for x in pts[1:]]
-    raise RuntimeError(f"the minimum was not found in {max_steps} steps; last value {val.min()}")
+    at = np.argmin(val)
+    return pts[at], np.ptp(val) <= FLAT, val[at]
 
 
 class Profile:

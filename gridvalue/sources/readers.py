@@ -20,6 +20,7 @@ _NUMBER = ["TimeSecs", "AirYards", "YardsAfterCatch", "Yards_Gained", "EPA", "WP
            "airEPA", "airWPA", "yacEPA", "yacWPA"]
 PLAYS = {"GameID": T.LongType(), **{c: T.IntegerType() for c in _INT},
          **{c: T.StringType() for c in _TEXT}, **{c: T.DoubleType() for c in _NUMBER}}
+PLAY_KEYS = ("GameID", "Season", "Drive", "posteam", "PlayType")
 ROSTERS = {"GSIS_ID": T.StringType(), "Pos": T.StringType()}
 GAMES = {"GameID": T.LongType(), "Season": T.IntegerType(), "home": T.StringType(),
          "away": T.StringType(), "homescore": T.IntegerType(), "awayscore": T.IntegerType()}
@@ -67,11 +68,13 @@ def _read_years(
 
 
 def load_plays(spark: SparkSession, template: str, years: Iterable[int],
-               file_format: str = "csv", optional: Iterable[str] = ()) -> DataFrame:
+               file_format: str = "csv", optional: Iterable[str] | None = None) -> DataFrame:
     """Plays of the given years; ``template`` holds ``{year}`` in its path.
 
-    Columns named ``optional`` may be absent from the files.
+    Columns named ``optional`` may be absent from the files and are then null: by
+    default all but those that tell plays, teams and kinds of play apart.
     """
+    optional = [c for c in PLAYS if c not in PLAY_KEYS] if optional is None else optional
     return _read_years(spark, template, years, PLAYS, file_format, False, optional)
 
 

@@ -127,7 +127,12 @@ def copula_correlation(
     z = {m: F.col(f"_z_{m}") for m in metrics}
 
     def corr(a: str, b: str) -> Column:
-        return F.lit(1.0) if a == b else F.corr(z[min(a, b)], z[max(a, b)])
+        if a == b:
+            return F.lit(1.0)
+        x, y = z[min(a, b)], z[max(a, b)]
+        # Not F.corr, which divides by zero where a metric is constant.
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), spread)
 
     flat = [corr(a, b) for a in metrics for b in metrics]
     return rows.agg(F.array(*flat).alias("matrix"))

@@ -248,21 +248,27 @@ def near_duplicate_report(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.col("component").alias("component_id"))
 
 
-def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the smallest of their class, with their own columns.
-
-    Of repeated rows with that key one stays; documents with a null key stay only if
-    their class has no other, one of them.
-    """
+def keep_smallest_keys(docs: DataFrame, classes: DataFrame, mark: str, add, key: str) -> DataFrame:
+    """The documents with the smallest key of their class, given (key, mark, component);
+    ``add(docs, name)`` adds a document's mark under that name."""
     p = free_prefix(docs)
     name, bits, at = f"{p}key", f"{p}bits", f"{p}at"
-    classes = near_duplicate_classes(docs, key, text)
     kept = classes.where(F.col("key").eqNullSafe(F.col("component"))).select(
-        F.col("key").alias(name), F.col("bits").alias(bits)).distinct()
+        F.col("key").alias(name), F.col(mark).alias(bits)).distinct()
     kept = kept.withColumn(at, F.xxhash64(name, bits))
-    marked = add_fingerprint(docs, text, f"{p}print")
+    marked = add(docs, f"{p}print")
     marked = marked.withColumn(f"{p}hash", F.xxhash64(key, f"{p}print"))
     out = marked.join(kept, (F.col(f"{p}hash") == F.col(at)) & F.col(key).eqNullSafe(F.col(name)) & (
         F.col(f"{p}print") == F.col(bits)), "left_semi")
     # Already dealt by that hash, so this shuffles nothing.
     return out.dropDuplicates([f"{p}hash", key, f"{p}print"]).select(*docs.columns)
+
+
+def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose key is the smallest of their class, with their own columns.
+
+    Of repeated rows with that key one stays; documents with a null key stay only if
+    their class has no other, one of them.
+    """
+    classes = near_duplicate_classes(docs, key, text)
+    return keep_smallest_keys(docs, classes, "bits", lambda d, out: add_fingerprint(d, text, out), key)

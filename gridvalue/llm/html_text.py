@@ -172,11 +172,8 @@ def _longest(a: list, b: list) -> list[int]:
 
 def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]]) -> str:
     """The lines to keep, given those of the neighbour, joined by newlines."""
-    if any(v == KEEP for _, v in lines):
-        # A page with an article says itself what is not part of it.
-        return "\n".join(t for t, v in lines if v == KEEP)
     shared = shared_lines([t for t, _ in lines], [t for t, _ in other])
-    return "\n".join(t for (t, v), s in zip(lines, shared) if v == OPEN and not s)
+    return "\n".join(t for (t, v), s in zip(lines, shared) if v == KEEP or v == OPEN and not s)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -7,7 +7,8 @@ template. Differencing alone is wrong in both directions where markup is plain:
 that a site repeats inside its articles would go, and adverts or menus that change
 from page to page would stay. So it decides the lines that no element claims; lines
 in an article are kept, lines in menus, headers, footers, asides, forms and the like
-are not.
+are not. A class or id name is a hint only: it never marks an article or what holds
+one, and a line that it marks inside an article goes only if the neighbour has it too.
 """
 
 from __future__ import annotations
@@ -45,59 +46,69 @@ NAMED = frozenset((
     "consent disqus footer header menu nav navbar navigation newsletter notice notices popup promo promoted related "
     "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
 
-KEEP, DROP, OPEN = 1, -1, 0
+#: HINT: in an article, below a name that marks template. SIDE: such a name outside articles.
+KEEP, DROP, OPEN, HINT, SIDE = 1, -1, 0, 2, -2
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
 _NOT_LETTERS = re.compile(r"[^a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page and what its markup says of each: KEEP, DROP or OPEN."""
+    """Lines of a page and what its markup says of each: KEEP, DROP, OPEN, HINT or SIDE."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # element, verdict inside, is seen
+        self.found: list[tuple[str, int, tuple]] = []
+        # Element, verdict inside, is seen, numbers of the names that mark it.
+        self.stack: list[tuple[str, int, bool, tuple]] = []
         self.text: list[str] = []
+        self.names = 0
+        self.void: set[int] = set()  # names of elements that hold an article
 
-    def _state(self) -> tuple[int, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (OPEN, True)
+    def _state(self) -> tuple[int, bool, tuple]:
+        return self.stack[-1][1:] if self.stack else (OPEN, True, ())
 
     def _end_line(self):
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         if line:
-            self.lines.append((line, self._state()[0]))
+            verdict, _, names = self._state()
+            self.found.append((line, verdict, names))
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH and any(t == "p" for t, _, _ in self.stack):
+        if tag in ENDS_PARAGRAPH and any(row[0] == "p" for row in self.stack):
             self.handle_endtag("p")
         if tag in BLOCK:
             self._end_line()
         if tag in VOID:
             self.text.append(" " if tag == "br" else "")
             return
-        verdict, seen = self._state()
+        verdict, seen, names = self._state()
         seen = seen and tag not in UNSEEN
-        if verdict != DROP and (tag in TEMPLATE or self._named(attrs)) and tag not in ("html", "body"):
-            if tag != "header" or verdict != KEEP:
-                verdict = DROP
-        elif verdict == OPEN and tag in MAIN:
-            verdict = KEEP
-        self.stack.append((tag, verdict, seen))
+        if tag in ("html", "body") or verdict == DROP:
+            pass
+        elif self._claimed(attrs) or tag in TEMPLATE and (tag != "header" or verdict != KEEP):
+            verdict = DROP
+        elif tag in MAIN:
+            if verdict != KEEP:
+                # What holds an article is no template, whatever its name.
+                self.void.update(names)
+                verdict, names = KEEP, ()
+        elif self._named(attrs):
+            self.names += 1
+            names = (*names, self.names)
+        self.stack.append((tag, verdict, seen, names))
+
+    @staticmethod
+    def _claimed(attrs) -> bool:
+        return any(n == "hidden" or n == "role" and (v or "").lower().strip() in ROLES for n, v in attrs)
 
     @staticmethod
     def _named(attrs) -> bool:
-        for name, value in attrs:
-            value = (value or "").lower()
-            if name == "role" and value.strip() in ROLES or name == "hidden":
-                return True
-            if name in ("class", "id") and NAMED.intersection(_NOT_LETTERS.split(value)):
-                return True
-        return False
+        return any(n in ("class", "id") and NAMED.intersection(_NOT_LETTERS.split((v or "").lower())) for n, v in attrs)
 
     def handle_endtag(self, tag):
-        if tag in VOID or all(t != tag for t, _, _ in self.stack):
+        if tag in VOID or all(row[0] != tag for row in self.stack):
             return
         if tag in BLOCK:
             self._end_line()
@@ -117,6 +128,10 @@ class _Lines(HTMLParser):
         super().close()
         self._end_line()
 
+    def lines(self) -> list[tuple[str, int]]:
+        marked = {KEEP: HINT, OPEN: SIDE}
+        return [(t, v if self.void.issuperset(names) else marked.get(v, v)) for t, v, names in self.found]
+
 
 def lines_of(html: str) -> list[tuple[str, int]]:
     """(line, verdict) in page order; white space inside a line is one space."""
@@ -124,7 +139,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     # The library's parser fails on marked sections, and reads a tag cut off at the end as text.
     parser.feed(_CUT_TAG.sub("", html).replace("<![", "<!x["))
     parser.close()
-    return parser.lines
+    return parser.lines()
 
 
 def shared_lines(mine: list, other: list) -> list[bool]:
@@ -171,9 +186,20 @@ def _longest(a: list, b: list) -> list[int]:
 
 
 def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]]) -> str:
-    """The lines to keep, given those of the neighbour, joined by newlines."""
+    """The lines to keep, given those of the neighbour, joined by newlines.
+
+    Without a neighbour nothing speaks against a name in an article, so its lines go.
+    Outside articles a name decides if the page has an article, else differencing.
+    """
     shared = shared_lines([t for t, _ in lines], [t for t, _ in other])
-    return "\n".join(t for (t, v), s in zip(lines, shared) if v == KEEP or v == OPEN and not s)
+    article = any(v in (KEEP, HINT) for _, v in lines)
+
+    def stays(verdict, same):
+        if verdict == HINT:
+            return bool(other) and not same
+        return verdict == KEEP or not same and (verdict == OPEN or verdict == SIDE and not article)
+
+    return "\n".join(t for (t, v), s in zip(lines, shared) if stays(v, s))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

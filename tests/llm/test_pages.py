@@ -11,3 +11,22 @@ def test_open_lines_beside_an_article_are_differenced():
     page = "<div>Site</div><article><p>Teaser {0}</p></article><div>Body {0}</div><div>All rights reserved</div>"
     assert text_of(page.format(1), page.format(2)) == "Teaser 1\nBody 1"
     assert text_of("<article><p>Site</p></article>", "<div>Site</div>") == "Site"
+
+
+def test_names_do_not_claim_what_holds_an_article():
+    wrapped = '<div class="page has-sidebar"><p>Lead {0}</p><article class="post has-sidebar"><p>Body {0}</p></article></div>'
+    assert text_of(wrapped.format(1)) == "Lead 1\nBody 1"
+    assert text_of('<nav class="menu"><article>menu</article></nav><main id="menu"><p>x</p></main>') == "x"
+
+
+def test_names_inside_an_article_need_the_neighbour():
+    page = ('<article><div class="entry-header"><h1>Title {0}</h1></div><p class="notice">Note {0}</p><p>Body {0}</p>'
+            '<div class="share">Share this</div></article>')
+    assert text_of(page.format(1), page.format(2)) == "Title 1\nNote 1\nBody 1"
+
+
+def test_names_without_an_article_need_the_neighbour():
+    page = '<div class="content has-sidebar"><p>Body {0}</p></div><div class="sidebar">Links</div>'
+    assert text_of(page.format(1), page.format(2)) == "Body 1"
+    beside = '<article><p>Body {0}</p></article><div class="ad">Buy {0}</div>'
+    assert text_of(beside.format(1), beside.format(2)) == "Body 1"

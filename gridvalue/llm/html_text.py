@@ -1,9 +1,9 @@
 """Main text of web pages by differencing pages with near URLs.
 
-Pages are put in order of (host, path) over many tasks. Each page is cut into lines
-(blocks) and compared with the neighbour whose path shares the longer beginning with
-its own: lines are aligned by a longest common subsequence, and shared lines are
-template. Differencing alone is wrong in both directions where markup is plain: text
+Each page is cut into lines (blocks). The pages of a host are reduced to distinct lists
+of lines, which are put in order of (host, path) over many tasks. Each list is compared
+with the neighbour whose path shares the longer beginning with its own: lines are
+aligned by a longest common subsequence, and shared lines are template in all copies. Differencing alone is wrong in both directions where markup is plain: text
 that a site repeats inside its articles would go, and adverts or menus that change
 from page to page would stay. So it decides the lines that no element claims; lines
 in an article are kept, lines in menus, headers, footers, asides, forms and the like
@@ -20,11 +20,12 @@ from html.parser import HTMLParser
 from os.path import commonprefix
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import settle
 from .common import slices
 from .ordered import in_order
 
@@ -192,16 +193,29 @@ def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]]) -> str
     Outside articles a name decides if the page has an article, else differencing.
     """
     shared = shared_lines([t for t, _ in lines], [t for t, _ in other])
-    article = any(v in (KEEP, HINT) for _, v in lines)
+    return _kept(lines, shared, not other)
+
+
+def _kept(lines: list[tuple[str, int]], shared: list[bool], alone: bool) -> str:
+    article = _has_article(lines)
 
     def stays(verdict, same):
         if verdict == HINT:
-            return bool(other) and not same
+            return not alone and not same
         return verdict == KEEP or not same and (verdict == OPEN or verdict == SIDE and not article)
 
     return "\n".join(t for (t, v), s in zip(lines, shared) if stays(v, s))
 
 
+def _has_article(lines) -> bool:
+    return any(v in (KEEP, HINT) for _, v in lines)
+
+
+def _undecided(lines) -> bool:
+    """Whether differencing decides any of the lines."""
+    return any(v in (OPEN, HINT) for _, v in lines) or not _has_article(lines) and any(v == SIDE for _, v in lines)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z in lower case; path: from
     there up to ? # or the end. Both empty for null or without ://."""
@@ -217,47 +231,76 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """(key, url, text, n_chars) of every page.
 
     A null page is empty; a page without lines to keep has an empty text. A page whose
-    host has no other is compared with none. Repeated rows are neighbours of each other:
-    if they have no article, all they share goes.
+    host has no other content is compared with none. Pages of a host with equal lines are
+    compared as one, with the nearest URL of other content.
     """
     host, path = host_and_path(F.col(url))
     own = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("key"), F.col(url).alias("url"),
                        F.coalesce(F.col(html), F.lit("")).alias("html"))
-    dealt, bucket, side, _ = in_order(own, ["host", "path", "key"], before=True, after=True, ties=["url", "html"])
+    kind = own.schema["key"].dataType
+    parsed = settle(own.mapInArrow(_parse, T.StructType([
+        *(f for f in own.schema.fields if f.name != "html"), T.StructField("lines", T.ArrayType(T.StringType())),
+        T.StructField("verdicts", T.ArrayType(T.ByteType())), T.StructField("mark", T.StringType()),
+        T.StructField("open", T.BooleanType())])), "page_lines")
+    contents = parsed.where(F.size("lines") > 0).groupBy("host", "mark").agg(
+        F.min("path").alias("path"), F.max("open").alias("open"), F.first("lines").alias("lines"))
+    dealt, bucket, side, _ = in_order(settle(contents, "page_contents"), ["host", "path", "mark"], before=True, after=True)
+    shared = settle(dealt.mapInArrow(_difference(bucket, side), "host string, mark string, shared array<boolean>, alone boolean"),
+                    "shared_lines")
     schema = T.StructType([
-        T.StructField(key, dealt.schema["key"].dataType), T.StructField(url, T.StringType()),
+        T.StructField(key, kind), T.StructField(url, T.StringType()),
         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    def write(batches):
+        for batch in batches:
+            texts = []
+            for row in batch.select(["lines", "verdicts", "shared", "alone"]).to_pylist():
+                lines = list(zip(row["lines"], row["verdicts"]))
+                texts.append(_kept(lines, row["shared"] or [False] * len(lines), bool(row["alone"])))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("key"), batch.column("url"), pa.array(texts, pa.string()),
+                pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+
+    return parsed.drop("path", "open").join(shared, ["host", "mark"], "left").select(
+        "key", "url", "lines", "verdicts", "shared", "alone").mapInArrow(write, schema)
+
+
+def _parse(batches):
+    """Lines of each page, what markup says of them, and a hash of the lines."""
+    for batch in batches:
+        for part in slices(batch, "html"):
+            lines = [lines_of(t) for t in part.column("html").to_pylist()]
+            texts = [[t for t, _ in page] for page in lines]
+            yield pa.RecordBatch.from_arrays([
+                *(part.column(n) for n in part.schema.names if n != "html"), pa.array(texts, pa.list_(pa.string())),
+                pa.array([[v for _, v in page] for page in lines], pa.list_(pa.int8())),
+                pa.array([xxhash.xxh3_128_hexdigest("\n".join(t)) for t in texts], pa.string()),
+                pa.array([_undecided(page) for page in lines], pa.bool_())],
+                names=[*(n for n in part.schema.names if n != "html"), "lines", "verdicts", "mark", "open"])
+
+
+def _difference(bucket: str, side: str):
+    """Which lines each content shares with its neighbour, where that decides any."""
     def nearest(page, before, after):
         near = [p for p in (before, after) if p is not None and p["host"] == page["host"]]
         return max(near, key=lambda p: len(commonprefix([p["path"], page["path"]])), default=None)
 
+    def result(done):
+        return pa.RecordBatch.from_arrays([
+            pa.array([p["host"] for p, _, _ in done], pa.string()), pa.array([p["mark"] for p, _, _ in done], pa.string()),
+            pa.array([s for _, s, _ in done], pa.list_(pa.bool_())), pa.array([a for _, _, a in done], pa.bool_())],
+            names=["host", "mark", "shared", "alone"])
+
     def run(batches):
-        def rows():
-            for batch in batches:
-                for part in slices(batch, "html"):
-                    for row in part.to_pylist():
-                        row["lines"] = lines_of(row.pop("html"))
-                        yield row
-
-        def result(done):
-            texts = [t for _, t in done]
-            return pa.RecordBatch.from_arrays([
-                pa.array([r["key"] for r, _ in done], kind), pa.array([r["url"] for r, _ in done], pa.string()),
-                pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
-
-        kind = to_arrow_type(schema[0].dataType)
+        rows = (row for batch in batches for i in range(0, batch.num_rows, 100) for row in batch.slice(i, 100).to_pylist())
         before = page = None
         done: list = []
-        for row in itertools.chain(rows(), [None]):
+        for row in itertools.chain(rows, [None]):
             if page is not None:
-                if row is not None and row[bucket] == page[bucket]:
-                    after = row
-                else:
-                    after = None
-                if page[side] == 0:
+                after = row if row is not None and row[bucket] == page[bucket] else None
+                if page[side] == 0 and page["open"]:
                     other = nearest(page, before, after)
-                    done.append((page, main_text(page["lines"], other["lines"] if other else [])))
+                    done.append((page, shared_lines(page["lines"], other["lines"] if other else []), other is None))
                 before = page if after is not None else None
             page = row
             if len(done) >= 500:
@@ -266,4 +309,4 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
         if done:
             yield result(done)
 
-    return dealt.mapInArrow(run, schema)
+    return run

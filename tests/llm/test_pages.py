@@ -30,3 +30,16 @@ def test_names_without_an_article_need_the_neighbour():
     assert text_of(page.format(1), page.format(2)) == "Body 1"
     beside = '<article><p>Body {0}</p></article><div class="ad">Buy {0}</div>'
     assert text_of(beside.format(1), beside.format(2)) == "Body 1"
+
+
+def test_copies_are_compared_with_other_content(spark):
+    def page(i, url, body):
+        return i, url, f"<div>Site</div><p>{body}</p><div>All rights reserved</div>"
+
+    rows = [page(1, "http://s.org/a?x=1", "First"), page(2, "http://s.org/a?x=2", "First"), page(2, "http://s.org/a?x=2", "First"),
+            page(3, "http://s.org/b", "Second"), page(4, "http://s.org/b/1", "Second"), (5, "http://s.org/a", ""),
+            *(page(i, "http://lone.org/", "Alone") for i in range(6, 40))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract_pages(pages).collect())
+    assert got == [(1, "First"), (2, "First"), (2, "First"), (3, "Second"), (4, "Second"), (5, ""),
+                   *((i, "Site\nAlone\nAll rights reserved") for i in range(6, 40))]

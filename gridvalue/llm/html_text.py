@@ -241,9 +241,9 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     parsed = settle(own.mapInArrow(_parse, T.StructType([
         *(f for f in own.schema.fields if f.name != "html"), T.StructField("lines", T.ArrayType(T.StringType())),
         T.StructField("verdicts", T.ArrayType(T.ByteType())), T.StructField("mark", T.StringType()),
-        T.StructField("open", T.BooleanType())])), "page_lines")
-    contents = parsed.where(F.size("lines") > 0).groupBy("host", "mark").agg(
-        F.min("path").alias("path"), F.max("open").alias("open"), F.first("lines").alias("lines"))
+        T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("open", T.BooleanType())])), "page_lines")
+    contents = parsed.where(F.size("hashes") > 0).groupBy("host", "mark").agg(
+        F.min("path").alias("path"), F.max("open").alias("open"), F.first("hashes").alias("hashes"))
     dealt, bucket, side, _ = in_order(settle(contents, "page_contents"), ["host", "path", "mark"], before=True, after=True)
     shared = settle(dealt.mapInArrow(_difference(bucket, side), "host string, mark string, shared array<boolean>, alone boolean"),
                     "shared_lines")
@@ -261,12 +261,15 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
                 batch.column("key"), batch.column("url"), pa.array(texts, pa.string()),
                 pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return parsed.drop("path", "open").join(shared, ["host", "mark"], "left").select(
+    return parsed.drop("path", "hashes", "open").join(shared, ["host", "mark"], "left").select(
         "key", "url", "lines", "verdicts", "shared", "alone").mapInArrow(write, schema)
 
 
 def _parse(batches):
-    """Lines of each page, what markup says of them, and a hash of the lines."""
+    """Lines of each page, what markup says of them, a hash of all and of each line.
+
+    Only the 64-bit hashes of lines are shuffled and aligned.
+    """
     for batch in batches:
         for part in slices(batch, "html"):
             lines = [lines_of(t) for t in part.column("html").to_pylist()]
@@ -275,8 +278,9 @@ def _parse(batches):
                 *(part.column(n) for n in part.schema.names if n != "html"), pa.array(texts, pa.list_(pa.string())),
                 pa.array([[v for _, v in page] for page in lines], pa.list_(pa.int8())),
                 pa.array([xxhash.xxh3_128_hexdigest("\n".join(t)) for t in texts], pa.string()),
+                pa.array([[xxhash.xxh3_64_intdigest(x) - 2**63 for x in t] for t in texts], pa.list_(pa.int64())),
                 pa.array([_undecided(page) for page in lines], pa.bool_())],
-                names=[*(n for n in part.schema.names if n != "html"), "lines", "verdicts", "mark", "open"])
+                names=[*(n for n in part.schema.names if n != "html"), "lines", "verdicts", "mark", "hashes", "open"])
 
 
 def _difference(bucket: str, side: str):
@@ -300,7 +304,7 @@ def _difference(bucket: str, side: str):
                 after = row if row is not None and row[bucket] == page[bucket] else None
                 if page[side] == 0 and page["open"]:
                     other = nearest(page, before, after)
-                    done.append((page, shared_lines(page["lines"], other["lines"] if other else []), other is None))
+                    done.append((page, shared_lines(page["hashes"], other["hashes"] if other else []), other is None))
                 before = page if after is not None else None
             page = row
             if len(done) >= 500:

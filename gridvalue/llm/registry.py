@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fingerprints, html_text, language, sharding, simhash, token_files, url_filter
+from . import (
+    bpe, chat, decontaminate, filter_audit, fingerprints, html_text, language, line_runs, ranked_search, sharding,
+    simhash, token_files, url_filter,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +78,27 @@ def op9_simhash(spark, sf):
 @query
 def op10_language(spark, sf):
     return language.held_out_report(table(spark, sf, "documents"))
+
+
+@query
+def op11_ranked_search(spark, sf):
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = ranked_search.ORACLE_SQL
+
+
+@query
+def op12_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.ORACLE_SQL
+
+
+@query
+def op13_line_dedup(spark, sf):
+    return line_runs.line_report(table(spark, sf, "documents"))
+
+
+ORACLES["op13_line_dedup"] = line_runs.ORACLE_SQL

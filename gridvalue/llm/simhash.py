@@ -264,11 +264,13 @@ def keep_smallest_keys(docs: DataFrame, classes: DataFrame, mark: str, add, key:
     return out.dropDuplicates([f"{p}hash", key, f"{p}print"]).select(*docs.columns)
 
 
-def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_per_class(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE,
+) -> DataFrame:
     """The documents whose key is the smallest of their class, with their own columns.
 
     Of repeated rows with that key one stays; documents with a null key stay only if
     their class has no other, one of them.
     """
-    classes = near_duplicate_classes(docs, key, text)
-    return keep_smallest_keys(docs, classes, "bits", lambda d, out: add_fingerprint(d, text, out), key)
+    classes = near_duplicate_classes(docs, key, text, radius, shingle)
+    return keep_smallest_keys(docs, classes, "bits", lambda d, out: add_fingerprint(d, text, out, shingle), key)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridvalue.functions import settle
-from gridvalue.llm import bpe, decontaminate, language, near_sets
+from gridvalue.llm import bpe, decontaminate, language, simhash
 from gridvalue.llm.common import free_prefix, table
 
 
@@ -28,8 +28,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one with the smallest id. A class is what a chain
-    of pairs with a five-word likeness of at least 0.8 connects."""
-    return near_sets.keep_one_per_class(docs)
+    of pairs connects whose fingerprints of three-word shingles differ in at most 2 bits."""
+    return simhash.keep_one_per_class(docs, radius=2, shingle=3)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

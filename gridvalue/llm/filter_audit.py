@@ -49,7 +49,8 @@ def copies_of_smaller(docs: DataFrame) -> DataFrame:
     has, once for repeated rows."""
     twice = docs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     some = docs.join(settle(twice, "repeated_hashes"), "hash", "left_semi")
-    smallest = some.groupBy("hash", "text").agg(F.min("key").alias("least"))
+    # Written, so that the join reads plain exchanges, whose hot texts Spark can split.
+    smallest = settle(some.groupBy("hash", "text").agg(F.min("key").alias("least")), "smallest_keys")
     x, y = some.alias("x"), smallest.alias("y")
     smaller = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.text") == F.col("y.text")) & (
         F.col("y.least") < F.col("x.key"))

@@ -36,12 +36,15 @@ def text_column(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with at most ``limit`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES,
+           rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with at most ``limit`` bytes of text, one row at least, and no
+    more than ``rows`` rows."""
     _, at = text_column(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = max(int(np.searchsorted(at, at[start] + limit, "right")) - 1, start + 1)
+        end = min(end, start + rows) if rows else end
         yield batch.slice(start, end - start)
         start = end
 
@@ -54,7 +57,7 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
 
 def add_by_slice(
     df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
-    fields: dict[str, T.DataType], drop: tuple[str, ...] = (),
+    fields: dict[str, T.DataType], drop: tuple[str, ...] = (), rows: int | None = None,
 ) -> DataFrame:
     """Add columns that ``fn`` computes from bounded slices of rows.
 
@@ -66,7 +69,7 @@ def add_by_slice(
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, rows=rows):
                 out = with_columns(part, fn(part))
                 yield out.select(names)
 

@@ -27,6 +27,8 @@ from .common import add_by_slice, slices, text_column
 BUCKETS = 1 << 13
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1000
+#: Rows that a task turns into dense vectors at once.
+VECTOR_ROWS = 256
 SLACK = 0.2
 UNKNOWN = "und"
 
@@ -106,7 +108,7 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def count(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, rows=VECTOR_ROWS):
                 total += (gram_counts(part.column(text)) > 0).sum(axis=0)
                 n += part.num_rows
         if n:
@@ -170,7 +172,8 @@ def add_language(docs: DataFrame, model: Model, text: str = "text", prefix: str
                 f"{prefix}rejected": pa.array(rejected, pa.bool_())}
 
     return add_by_slice(docs, text, run, {
-        f"{prefix}lang_pred": T.StringType(), f"{prefix}score": T.DoubleType(), f"{prefix}rejected": T.BooleanType()})
+        f"{prefix}lang_pred": T.StringType(), f"{prefix}score": T.DoubleType(), f"{prefix}rejected": T.BooleanType()},
+        rows=VECTOR_ROWS)
 
 
 def held_out(key: Column) -> Column:

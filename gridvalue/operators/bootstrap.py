@@ -3,8 +3,9 @@
 Resampling a season draws, per team, as many units (plays or whole drives) as it
 has, with replacement. Units are numbered once; slot ``i`` of replicate ``s``
 takes the unit at a hashed position, so draws are reproducible and independent
-of partitioning. A replicate is the table of drawn units with their number of
-copies; plays carry that number as a weight instead of being repeated.
+of partitioning (see :mod:`gridvalue.operators.replicates`). A replicate is the table
+of drawn units with their number of copies; plays carry that number as a weight instead
+of being repeated.
 """
 
 from __future__ import annotations
@@ -15,22 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import label, number_rows, scratch_tables, settle, union_all
+from .replicates import FIRST_SIM, PLACE, SIZE, START, UNIT, WEIGHTS, replicate_weights
 from .tables import PositionTables, SeasonTables
 
 SIM = "sim_id"
 COPIES = "copies"
-UNIT = "_unit"    # unique over all teams
-PLACE = "_place"  # 1..n within the team
-SIZE = "_size"    # n
-START = "_start"  # units of the teams before
-
-
-def hashed_position(n: Column, *parts: Column) -> Column:
-    """A position in 1..n from 60 bits of an MD5 hash of the parts."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    # Never missing; saying so spares joins a null check that hashes every row again.
-    return F.coalesce(bits % n + 1, F.lit(1))
 
 
 def number_units(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -50,19 +40,11 @@ def number_units(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
 def draw_copies(
     units: DataFrame, keys: Sequence[str], n_sims: int, seed: int = 0, first_sim: int = 1
 ) -> DataFrame:
-    """(sim_id, unit, copies) drawn from numbered units.
-
-    Each unit also serves as the slot of the same place, so the draws of a large
-    team are generated where its units lie. Draws are two numbers, shuffled once, by
-    unit: counting copies and joining units or plays by unit need no other shuffle.
-    """
-    sims = F.sequence(F.lit(first_sim), F.lit(first_sim + n_sims - 1))
-    slots = units.select(*keys, PLACE, SIZE, START, F.explode(sims).alias(SIM))
-    drawn = hashed_position(
-        F.col(SIZE), F.lit(seed), F.col(SIM), *[F.col(k) for k in keys], F.col(PLACE)
-    )
-    draws = slots.select(SIM, (F.col(START) + drawn).alias(UNIT)).repartition(UNIT)
-    return draws.groupBy(SIM, UNIT).agg(F.count(F.lit(1)).alias(COPIES))
+    """(sim_id, unit, copies) drawn from numbered units: their replicate weights, a row
+    each."""
+    weights = replicate_weights(units, keys, n_sims, seed, first_sim)
+    each = weights.select(UNIT, FIRST_SIM, F.posexplode(WEIGHTS).alias("_at", COPIES)).where(F.col(COPIES) > 0)
+    return each.select((F.col(FIRST_SIM) + F.col("_at")).alias(SIM), UNIT, F.col(COPIES).cast("long").alias(COPIES))
 
 
 def drive_units(plays: DataFrame, run_keys: Sequence[str] = ("Season",)) -> DataFrame:
@@ -160,9 +142,9 @@ def bootstrap_splits(
 ) -> DataFrame:
     """Split statistics of every drive-level replicate.
 
-    Plays are summed per (split, drive) once; replicates only weight those sums.
-    ``splits`` must include the run keys. ``units`` are the drives to draw from,
-    by default those of ``plays``.
+    Plays are summed per (split, drive) once; replicates only weight those sums, all of
+    them in one pass. ``splits`` must include the run keys. ``units`` are the drives to
+    draw from, by default those of ``plays``.
     """
     from .splits import drive_totals, measures_from_drives
 
@@ -171,6 +153,6 @@ def bootstrap_splits(
     totals = drive_totals(plays, kind, [*splits, *[k for k in keys if k not in splits]])
     totals = totals.withColumn("Game_Drive", label("GameID", "Drive"))
     own = units.select(*keys, "Game_Drive", UNIT)
-    totals = settle(totals.join(own, [*keys, "Game_Drive"]).drop("Game_Drive"), "drive_totals")
-    weighted = totals.join(draw_copies(units, keys, n_sims, seed), UNIT)
-    return measures_from_drives(weighted, kind, [*splits, SIM], COPIES)
+    totals = totals.join(own, [*keys, "Game_Drive"]).drop("Game_Drive")
+    weighted = settle(totals.join(replicate_weights(units, keys, n_sims, seed), UNIT), "drive_weights")
+    return measures_from_drives(weighted, kind, splits, SIM)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql_div
+from .replicates import weighted_sums
 
 DRIVE = ["GameID", "Drive"]
 
@@ -240,14 +241,14 @@ def drive_totals(plays: DataFrame, kind: str, splits: Sequence[str]) -> DataFram
 
 
 def measures_from_drives(
-    totals: DataFrame, kind: str, splits: Sequence[str], weight: str, faithful: bool = True
+    totals: DataFrame, kind: str, splits: Sequence[str], sim: str, faithful: bool = True
 ) -> DataFrame:
-    """Measures per split from weighted drive totals.
+    """Measures per (split, replicate) from written drive totals with replicate weights.
 
     A split without the team may hold several rows of one drive label, which count as
     one drive.
     """
-    names = ["rows", *KINDS[kind][0]()]
-    sums = [F.expr(f"sum(_{n} * {weight}) as _{n}") for n in names]
-    summed = totals.groupBy(*_keys(splits)).agg(F.expr(f"count(distinct struct({', '.join(DRIVE)})) as _drives"), *sums)
-    return _measured(summed, kind, splits, faithful)
+    sums = [f"_{n}" for n in ("rows", *KINDS[kind][0]())]
+    keyed = totals.withColumns({f"_key_{s}": F.col(s) for s in splits})
+    summed = weighted_sums(keyed, [f"_key_{s}" for s in splits], DRIVE, sums, "_drives", f"_key_{sim}")
+    return _measured(summed, kind, [*splits, sim], faithful)

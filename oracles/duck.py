@@ -509,5 +509,5 @@ def compose(final: str) -> str:
     visit(final)
     if not needed:
         return final
-    body = ",\n".join(f"{n} as ({CTES[n].strip()})" for n in order if n in needed)
+    body = ",\n".join(f"{n} as materialized ({CTES[n].strip()})" for n in order if n in needed)
     return f"with {body}\n{final.strip()}"

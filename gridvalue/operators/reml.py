@@ -1,7 +1,7 @@
 """Solve one mixed-model system from its sufficient statistics.
 
 Relative standard deviations ``t_g = sd_g / sd_residual`` are found by minimising
-the profiled REML criterion. The largest factor has a diagonal block, so it is
+the profiled REML criterion, along its exact slopes. The largest factor has a diagonal block, so it is
 eliminated exactly: level j contributes ``t^2 / (t^2 n_j + 1)`` times the outer
 product of its row, and only the other factors and the fixed terms are factored.
 """
@@ -178,6 +178,68 @@ def _simplex(f, start, step, tol, spread, max_steps) -> tuple[np.ndarray, bool,
     return pts[at], np.ptp(val) <= FLAT, val[at]
 
 
+#: What a full step still promises (in units of the criterion) when the search is done,
+#: and the relative rounding of the criterion.
+SETTLED = 1e-14
+ROUNDING = 1e-11
+
+
+def slope_minimum(f, slopes, start: np.ndarray, max_steps: int = 200) -> np.ndarray:
+    """Quasi-Newton minimum of ``f`` over standard deviations; raises if it is not found.
+
+    ``slopes(t)`` gives the criterion and its derivatives by the variances ``t ** 2``. The
+    criterion is even in each ``t``, so a minimum at 0 is an ordinary one. A standard
+    deviation that ends at 0 though the criterion falls there is set off again.
+    """
+    t = np.abs(np.asarray(start, float))
+    for _ in range(RESTARTS + 1):
+        t = drop_to_zero(f, _quasi_newton(slopes, t, max_steps))
+        falling = (t == 0) & (slopes(t)[1] < -FLAT)
+        if not falling.any():
+            return t
+        t = np.where(falling, 0.1, t)
+    raise RuntimeError(f"the minimum was not found in {RESTARTS + 1} searches")
+
+
+def _quasi_newton(slopes, t: np.ndarray, max_steps: int) -> np.ndarray:
+    """BFGS with the curvature at the start taken from differences of the slopes."""
+    def at(t):
+        value, by_variance = slopes(t)
+        return value, 2 * t * by_variance
+
+    value, slope = at(t)
+    h = 1e-4
+    curve = np.array([at(t + h * e)[1] - slope for e in np.eye(len(t))]) / h
+    if not np.isfinite(curve).all():
+        curve = np.eye(len(t))
+    size, turn = np.linalg.eigh((curve + curve.T) / 2)
+    inverse = (turn / np.maximum(np.abs(size), 1e-6)) @ turn.T
+    for _ in range(max_steps):
+        step = -inverse @ slope
+        promise = float(slope @ step)
+        if promise > -SETTLED:
+            return t
+        # No step over more than half the length from 0, where the slope is flat.
+        length, found = min(1.0, 0.5 * (np.linalg.norm(t) + 0.1) / np.linalg.norm(step)), False
+        for _ in range(40):
+            new_value, new_slope = at(t + length * step)
+            if new_value <= value + 1e-4 * length * promise + ROUNDING * max(1.0, abs(value)):
+                found = True
+                break
+            length /= 2
+        if not found:
+            break
+        moved, bent = length * step, new_slope - slope
+        t, value, slope = t + moved, new_value, new_slope
+        along = float(moved @ bent)
+        if along > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(bent):
+            left = np.eye(len(t)) - np.outer(moved, bent) / along
+            inverse = left @ inverse @ left.T + np.outer(moved, moved) / along
+    if promise < -FLAT:
+        raise RuntimeError(f"the slope has not vanished after {max_steps} steps")
+    return t
+
+
 class Profile:
     """Profiled REML criterion of a system, given how the big factor is eliminated.
 
@@ -196,22 +258,50 @@ class Profile:
         k = s * d[:, None] * d[None, :]
         idx = np.arange(self.q)
         k[idx, idx] += 1.0
-        return k, d, logdet
+        return k, d, logdet, s
 
-    def criterion(self, t_big: float, t_small: np.ndarray) -> float:
-        k, _, logdet = self.factor(abs(t_big), np.abs(t_small))
+    def _value(self, k: np.ndarray, logdet: float) -> tuple[float, float]:
+        """The criterion and the residual sum of squares; infinite if it has none."""
         try:
             diag = np.diag(np.linalg.cholesky(k))
         except np.linalg.LinAlgError:
-            return np.inf
+            return np.inf, np.inf
         df = self.n - self.p
         rss = max(diag[-1] ** 2, np.finfo(float).tiny)
         return (logdet + 2 * np.log(diag[:-1]).sum()
-                + df * (1 + np.log(2 * np.pi * rss / df)))
+                + df * (1 + np.log(2 * np.pi * rss / df))), rss
+
+    def criterion(self, t_big: float, t_small: np.ndarray) -> float:
+        k, _, logdet, _ = self.factor(abs(t_big), np.abs(t_small))
+        return self._value(k, logdet)[0]
+
+    def slopes(self, t_big: float, t_small: np.ndarray, rows: np.ndarray, counts: np.ndarray):
+        """The criterion and its derivatives by the big and the small factors' variances.
+
+        With P the projection that REML uses, the derivative by a factor's variance is
+        tr(Z'PZ) - df |Z'Py|^2 / y'Py. ``rows`` and ``counts`` are those of the big factor.
+        """
+        t_big, t_small = abs(t_big), np.abs(t_small)
+        q, m = self.q, self.q + self.p
+        k, d, logdet, s = self.factor(t_big, t_small)
+        value, rss = self._value(k, logdet)
+        if not np.isfinite(value):
+            return np.inf, np.inf, np.full(len(self.sizes), np.inf)
+        df = self.n - self.p
+        inverse = np.linalg.inv(k[:m, :m])
+        coef = inverse @ k[:m, m]
+        inner, outer = s[:m, :q] * d[:m, None], rows[:, :m] * d[None, :m]
+        pull = (s[:q, m] - inner.T @ coef) ** 2
+        trace = np.diag(s)[:q] - (inner * (inverse @ inner)).sum(axis=0)
+        shrink = 1.0 / (1.0 + t_big**2 * counts)
+        big = (shrink * counts - shrink**2 * ((outer @ inverse) * outer).sum(axis=1)).sum()
+        big -= df / rss * ((shrink * (rows[:, m] - outer @ coef)) ** 2).sum()
+        each = np.split(trace - df / rss * pull, np.cumsum(self.sizes)[:-1]) if self.sizes else []
+        return value, big, np.array([x.sum() for x in each])
 
     def solve(self, t_big: float, t_small: np.ndarray):
         """(coefficients of [small levels, fixed], residual variance, small covariance)."""
-        k, d, _ = self.factor(t_big, t_small)
+        k, d, _, _ = self.factor(t_big, t_small)
         m = self.q + self.p
         coef = np.linalg.solve(k[:m, :m], k[:m, m]) if m else np.zeros(0)
         rss = k[m, m] - k[:m, m] @ coef
@@ -245,7 +335,13 @@ def fit(system: System, names: list[str], theta: list[float] | None = None) -> p
         def goal(t: np.ndarray) -> float:
             return profile.criterion(t[big], t[others])
 
-        t = drop_to_zero(goal, simplex_minimum(goal, np.full(len(system.order), 0.3)))
+        def slopes(t: np.ndarray) -> tuple[float, np.ndarray]:
+            value, by_big, by_small = profile.slopes(t[big], t[others], rows, counts)
+            out = np.empty(len(t))
+            out[big], out[others] = by_big, by_small
+            return value, out
+
+        t = slope_minimum(goal, slopes, np.full(len(system.order), 0.3))
     else:
         t = np.asarray(theta, float)
     t_big, t_small = t[big], t[others]

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridvalue.operators import reml
 from gridvalue.operators.effects import MixedSpec, crossed_effects, effects_of
 from helpers import assert_same_rows
 
@@ -130,3 +131,73 @@ def test_factor_with_too_many_values_is_refused(spark):
                                      "cast(id % 3 as string) as g")
     with pytest.raises(ValueError, match="too many values"):
         crossed_effects({"m": (df, MixedSpec("y", factors={"f": None}, groups=("g",)))})
+
+
+def random_system(seed, n=400, levels=(40, 12, 5)):
+    """Cross products of a random crossed model, two fixed terms, three factors."""
+    rng = np.random.default_rng(seed)
+    ids = [rng.integers(0, k, n) for k in levels]
+    x = rng.normal(size=n)
+    y = 1 + x + sum(s * rng.normal(size=k)[i] for k, i, s in zip(levels, ids, (0.8, 0.0, 0.4))) + rng.normal(size=n)
+    z = [np.eye(k)[i] for k, i in zip(levels, ids)]
+    rest = np.column_stack([z[1], z[2], np.ones(n), x, y])
+    return reml.System(n, rest.T @ rest, [("b", list(map(str, range(levels[1])))), ("c", list(map(str, range(levels[2]))))], 2,
+                       "a", list(map(str, range(levels[0]))), z[0].T @ rest, z[0].sum(axis=0), ["a", "b", "c"])
+
+
+def profile_of(system):
+    def eliminate(t):
+        w = t * t / (t * t * system.big_n + 1)
+        return system.small - (system.big_rows * w[:, None]).T @ system.big_rows, float(np.log1p(t * t * system.big_n).sum())
+
+    return reml.Profile([len(v) for _, v in system.small_groups], system.p, system.n, eliminate)
+
+
+@pytest.mark.parametrize("t", [(0.5, 0.3, 0.2), (0.0, 0.4, 0.1), (0.7, 0.0, 0.0)])
+def test_slopes_equal_differences_of_the_criterion(t):
+    system = random_system(1)
+    profile, v = profile_of(system), np.square(t)
+    value, big, small = profile.slopes(t[0], np.array(t[1:]), system.big_rows, system.big_n)
+
+    def at(v):
+        t = np.sqrt(v)
+        return profile.criterion(t[0], t[1:])
+
+    assert value == pytest.approx(at(v), rel=1e-12)
+    for i, slope in enumerate([big, *small]):
+        h = 1e-5 * np.eye(3)[i]
+        # One-sided where the variance is 0: the second-order formula from v, v + h, v + 2 h.
+        numeric = (4 * at(v + h) - at(v + 2 * h) - 3 * at(v)) / 2e-5
+        assert slope == pytest.approx(numeric, rel=1e-3, abs=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slope_search_is_no_worse_than_the_simplex(seed):
+    system = random_system(seed)
+    fitted = reml.fit(system, ["(Intercept)", "x"])
+    sd = fitted[fitted["kind"] == "sd"].set_index("factor")["estimate"]
+    t = (sd[["a", "b", "c"]] / sd["Residual"]).to_numpy()
+    profile = profile_of(system)
+    simplex = reml.drop_to_zero(lambda t: profile.criterion(t[0], t[1:]), reml.simplex_minimum(
+        lambda t: profile.criterion(t[0], t[1:]), np.full(3, 0.3)))
+    assert profile.criterion(t[0], t[1:]) <= profile.criterion(simplex[0], simplex[1:]) + 1e-9
+    assert t == pytest.approx(simplex, abs=1e-4)
+    _, big, small = profile.slopes(t[0], t[1:], system.big_rows, system.big_n)
+    slopes = np.array([big, *small])
+    assert (np.abs(2 * t * slopes) < 1e-5).all() and (slopes[t == 0] > -1e-5).all()
+
+
+def test_search_leaves_zero_where_the_criterion_falls():
+    system = random_system(3)
+    profile = profile_of(system)
+
+    def slopes(t):
+        value, big, small = profile.slopes(t[0], t[1:], system.big_rows, system.big_n)
+        return value, np.array([big, *small])
+
+    def goal(t):
+        return profile.criterion(t[0], t[1:])
+
+    a = reml.slope_minimum(goal, slopes, np.full(3, 0.3))
+    b = reml.slope_minimum(goal, slopes, np.zeros(3))
+    assert a == pytest.approx(b, abs=1e-6) and a[0] > 0

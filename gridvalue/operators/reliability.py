@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +86,10 @@ def reliability(
     return null_safe_join(discrimination(rows), stability(rows), ["Metric"])
 
 
-#: Relative size below which an eigenvalue of a correlation matrix counts as 0.
+#: Relative size below which an eigenvalue of a correlation matrix, what others leave of a
+#: metric, or the variance of scores counts as 0.
 RANK_TOL = 1e-10
+CONSTANT = 1e-12
 
 
 def normal_scores(values: DataFrame) -> DataFrame:
@@ -114,28 +118,53 @@ def normal_scores(values: DataFrame) -> DataFrame:
 def copula_correlation(
     stats: DataFrame, attempts: str, minimum: float, metrics: Sequence[str]
 ) -> DataFrame:
-    """One row: correlations of normal scores over complete pairs, row-major in ``matrix``."""
+    """One row: correlations of normal scores over complete pairs, row-major in ``matrix``.
+
+    Scores are joined once, in long form. A task adds up products of whole matrices of
+    scores; what is shuffled is four numbers a pair of metrics and task. A pair in which
+    one metric does not vary has no correlation.
+    """
+    names, p = list(metrics), len(metrics)
     wide = stats.where(F.col(attempts) >= minimum).select(
-        *[F.nanvl(F.col(m).cast("double"), F.lit(None)).alias(m) for m in metrics]
+        *[F.nanvl(F.col(m).cast("double"), F.lit(None)).alias(m) for m in names]
     )
     rows = settle(wide.withColumn("_row", F.monotonically_increasing_id()), "metric_rows")
-    values = unpivot_stats(rows, ["_row"], metrics)
+    values = unpivot_stats(rows, ["_row"], names).where(F.col("Value").isNotNull())
     scores = settle(normal_scores(values), "scores")
-    for m in metrics:
-        own = scores.where(F.col("Metric") == m).select("Value", F.col("score").alias(f"_z_{m}"))
-        rows = null_safe_join(rows, own, {m: "Value"})
-    z = {m: F.col(f"_z_{m}") for m in metrics}
-
-    def corr(a: str, b: str) -> Column:
-        if a == b:
-            return F.lit(1.0)
-        x, y = z[min(a, b)], z[max(a, b)]
-        # Not F.corr, which divides by zero where a metric is constant.
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    flat = [corr(a, b) for a in metrics for b in metrics]
-    return rows.agg(F.array(*flat).alias("matrix"))
+    place = F.from_json(F.lit(json.dumps({m: i for i, m in enumerate(names)})), "map<string,int>")
+    scored = values.join(scores, ["Metric", "Value"]).groupBy("_row").agg(
+        F.collect_list(F.struct(F.element_at(place, F.col("Metric")).alias("at"), "score")).alias("s"))
+
+    def products(batches):
+        sums = np.zeros((4, p, p))
+        for batch in batches:
+            lists = batch.column("s")
+            cells = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            z, there = np.zeros((len(lists), p)), np.zeros((len(lists), p))
+            at = cells.field(0).to_numpy()
+            z[row, at], there[row, at] = cells.field(1).to_numpy(), 1.0
+            sums += there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.arange(p), p)), pa.array(np.tile(np.arange(p), p)),
+            *[pa.array(x.ravel()) for x in sums]], names=["i", "j", "n", "s", "q", "c"])
+
+    kinds = "i long, j long, n double, s double, q double, c double"
+    totals = scored.select("s").mapInArrow(products, kinds).groupBy("i", "j").agg(
+        *[F.sum(x).alias(x) for x in ("n", "s", "q", "c")])
+    totals = settle(totals, "score_products")
+    other = totals.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    # Every pair, so that metrics without values have their place too.
+    pairs = stats.sparkSession.range(p * p).select(F.expr(f"id div {p}").alias("i"), (F.col("id") % p).alias("j"))
+    both = pairs.join(totals.join(other, ["i", "j"]), ["i", "j"], "left")
+
+    def spread(s: str, q: str) -> Column:
+        var = F.col(q) - F.col(s) * F.col(s) / F.col("n")
+        return F.when(var > F.lit(CONSTANT) * F.col(q), F.sqrt(var))
+
+    corr = F.try_divide(F.col("c") - F.col("s") * F.col("s2") / F.col("n"), spread("s", "q") * spread("s2", "q2"))
+    cell = F.struct("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(corr).alias("r"))
+    return both.agg(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["r"]).alias("matrix"))
 
 
 def conditional_variance(c: np.ndarray, target: int, given: list[int]) -> float:
@@ -185,6 +214,75 @@ def cond_var(
     return correlation.mapInPandas(per_batch, "Metric string, Conditional_Variance double")
 
 
+class _Sweep:
+    """Variance of a target given a shrinking set of predictors.
+
+    Holds the correlation matrix swept on independent predictors that span all that are
+    kept; the rest depend on those. Dropping a predictor takes O(p^2).
+    """
+
+    def __init__(self, c: np.ndarray, target: int):
+        self.a, self.target = c.copy(), target
+        self.kept = [j for j in range(len(c)) if j != target]
+        self.swept = np.zeros(len(c), bool)
+        while self._take_in():
+            pass
+
+    @property
+    def variance(self) -> float:
+        return max(float(self.a[self.target, self.target]), 0.0)
+
+    def _loose(self) -> list[int]:
+        return [j for j in self.kept if not self.swept[j]]
+
+    def _pivot(self, k: int) -> None:
+        """Sweep on a predictor, or undo that."""
+        row, d = self.a[k].copy(), self.a[k, k]
+        self.a -= np.outer(row, row) / d
+        row = -row / d if self.swept[k] else row / d
+        self.a[k], self.a[:, k] = row, row
+        self.a[k, k] = -1 / d
+        self.swept[k] = not self.swept[k]
+
+    def _take_in(self) -> bool:
+        """Sweep on the kept predictor that the swept ones explain least, if any is left."""
+        loose = self._loose()
+        if not loose:
+            return False
+        k = max(loose, key=lambda j: self.a[j, j])
+        if self.a[k, k] <= RANK_TOL:
+            return False
+        self._pivot(k)
+        return True
+
+    def loss(self) -> np.ndarray:
+        """What the variance gains when each kept predictor goes: nothing if it depends on
+        others or one of those can stand in for it."""
+        out, loose = np.zeros(len(self.kept)), self._loose()
+        for i, k in enumerate(self.kept):
+            if self.swept[k]:
+                size = -self.a[k, k]
+                if not loose or (self.a[k, loose] ** 2).max() / size <= RANK_TOL:
+                    out[i] = self.a[k, self.target] ** 2 / size
+        return out
+
+    def drop(self, k: int) -> None:
+        self.kept.remove(k)
+        if self.swept[k]:
+            self._pivot(k)
+            self._take_in()
+
+
+def dropped_in_turn(c: np.ndarray, target: int) -> list[float]:
+    """Variance of the target given all others, then without the predictor whose loss raises
+    it most, and so on down to one predictor. Ties, to nine digits, go to the first."""
+    sweep, out = _Sweep(c, target), []
+    while sweep.kept:
+        out.append(sweep.variance)
+        sweep.drop(sweep.kept[int(np.argmax(sweep.loss().round(9)))])
+    return out
+
+
 def independence(
     stats: DataFrame, attempts: str, minimum: float, metrics: Sequence[str]
 ) -> DataFrame:
@@ -193,7 +291,7 @@ def independence(
     Returns (Metric, n_terms, Value): ``n_terms`` = number of metrics keeps all
     others as predictors; each step down removes the predictor whose loss raises
     the variance most; ``n_terms`` = 1 is 1 by definition. Each metric is solved
-    in its own group, on the small metric-by-metric matrix.
+    in its own group, on the small metric-by-metric matrix, in O(p^3) for p metrics.
     """
     names = list(metrics)
     c = copula_correlation(stats, attempts, minimum, names)
@@ -203,15 +301,9 @@ def independence(
     per_metric = settle(c.select("matrix", index).select("matrix", "m.*"), "correlation")
 
     def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = len(names)
-        corr = valid_correlation(list(pdf["matrix"].iloc[0]))
         target = int(pdf["i"].iloc[0])
-        kept = [j for j in range(p) if j != target]
-        values = {1: 1.0}
-        for terms in range(p, 1, -1):
-            values[terms] = conditional_variance(corr, target, kept)
-            losses = [conditional_variance(corr, target, [k for k in kept if k != j]) for j in kept]
-            kept.pop(int(np.argmax(losses)))
+        variances = dropped_in_turn(valid_correlation(list(pdf["matrix"].iloc[0])), target)
+        values = {1: 1.0} | dict(zip(range(len(names), 1, -1), variances))
         return pd.DataFrame({
             "Metric": names[target], "n_terms": list(values), "Value": list(values.values())
         })

@@ -651,3 +651,11 @@ def independence_matrix(spark, sf):
     metrics = [*METRICS, "TD_per_Att", "Air_TD_per_Att"]
     long = reliability.independence(_qb_stats(spark, sf), "Pass_Attempts", 10, metrics)
     return reliability.independence_matrix(long, metrics)
+
+
+@query
+def independence_all(spark, sf):
+    """All passing measures at once; many depend on others by definition."""
+    stats = _qb_stats(spark, sf)
+    metrics = [c for c in stats.columns if c not in ("Season", "Passer_ID_Name")]
+    return reliability.independence(stats, "Pass_Attempts", 10, metrics)

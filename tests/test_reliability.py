@@ -70,3 +70,58 @@ def test_equal_metrics_are_no_obstacle():
     bad = valid_correlation([1, 0.9, -0.9, 0.9, 1, 0.9, -0.9, 0.9, 1])
     assert np.linalg.eigvalsh(bad).min() > -1e-9 and np.allclose(np.diag(bad), 1)
     assert valid_correlation([1, None, None, 1]).tolist() == [[1, 0], [0, 1]]
+
+
+def drop_by_subsets(c, target):
+    """Every subset solved anew."""
+    kept, out = [j for j in range(len(c)) if j != target], []
+    while kept:
+        out.append(rel.conditional_variance(c, target, kept))
+        losses = [rel.conditional_variance(c, target, [k for k in kept if k != j]) for j in kept]
+        kept.pop(int(np.argmax(np.round(losses, 9))))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sweeps_equal_solving_every_subset(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 8)) @ rng.normal(size=(8, 8))
+    c = np.corrcoef(x.T)
+    for target in range(8):
+        assert rel.dropped_in_turn(c, target) == pytest.approx(drop_by_subsets(c, target), abs=1e-9)
+
+
+def test_sweeps_of_dependent_metrics():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(80, 5))
+    x = np.column_stack([x, x[:, 0], x[:, 1] + x[:, 2], x[:, 3] - 2 * x[:, 4], rng.normal(size=80)])
+    c = np.corrcoef(x.T)
+    for target in range(len(c)):
+        assert rel.dropped_in_turn(c, target) == pytest.approx(drop_by_subsets(c, target), abs=1e-7)
+    assert rel.dropped_in_turn(np.eye(1), 0) == []
+
+
+def test_correlation_of_pairs_with_missing_and_constant_metrics(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(300, 3)), columns=list("abc"))
+    pdf["b"] += pdf["a"]
+    pdf.loc[rng.random(300) < 0.3, "b"] = None
+    pdf["same"], pdf["none"], pdf["n"] = 4.0, np.nan, 10
+    names = ["a", "b", "c", "same", "none"]
+    got = rel.copula_correlation(spark.createDataFrame(pdf), "n", 1, names).first()["matrix"]
+    from statistics import NormalDist
+
+    z = pdf[names].rank() / (pdf[names].notna().sum() + 1)
+    z = z.map(lambda v: NormalDist().inv_cdf(v) if v == v else v)
+    expected = z.corr()
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            r = got[i * 5 + j]
+            if a == b:
+                assert r == 1.0
+            elif {a, b} & {"same", "none"}:
+                assert r is None
+            else:
+                assert r == pytest.approx(expected.loc[a, b], abs=1e-12)
+    empty = rel.copula_correlation(spark.createDataFrame(pdf).where("false"), "n", 1, ["a", "b"]).first()["matrix"]
+    assert empty == [1.0, None, None, 1.0]

@@ -159,10 +159,11 @@ def copula_correlation(
     both = pairs.join(totals.join(other, ["i", "j"]), ["i", "j"], "left")
 
     def spread(s: str, q: str) -> Column:
-        var = F.col(q) - F.col(s) * F.col(s) / F.col("n")
+        var = F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
         return F.when(var > F.lit(CONSTANT) * F.col(q), F.sqrt(var))
 
-    corr = F.try_divide(F.col("c") - F.col("s") * F.col("s2") / F.col("n"), spread("s", "q") * spread("s2", "q2"))
+    cov = F.col("c") - F.try_divide(F.col("s") * F.col("s2"), F.col("n"))
+    corr = F.try_divide(cov, spread("s", "q") * spread("s2", "q2"))
     cell = F.struct("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(corr).alias("r"))
     return both.agg(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["r"]).alias("matrix"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,10 +73,20 @@ def add_by_slice(
             for part in slices(batch, column, rows=rows):
                 out = with_columns(part, fn(part))
                 yield out.select(names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a task, for as long as its worker
+    waits for the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of the frame starts with."""
     prefix = "_"

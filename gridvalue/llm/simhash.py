@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import settle
-from .common import add_by_slice, free_prefix, text_column
+from .common import add_by_slice, free_prefix, give_back, text_column
 from .components import component_roots
 from .words import LOWER, find_words
 
@@ -183,6 +183,8 @@ def _compare(radius: int):
                 yield edges(*block.visit(bits[s:e]))
         if block is not None or waiting:
             yield edges(*(block or _ready(waiting, radius)).links())
+        key = block = waiting = None
+        give_back()
 
     return run
 

@@ -187,13 +187,19 @@ ROUNDING = 1e-11
 def slope_minimum(f, slopes, start: np.ndarray, max_steps: int = 200) -> np.ndarray:
     """Quasi-Newton minimum of ``f`` over standard deviations; raises if it is not found.
 
+    Where the slopes lead nowhere, as in models with hardly more rows than levels, the
+    simplex searches from the same start.
+
     ``slopes(t)`` gives the criterion and its derivatives by the variances ``t ** 2``. The
     criterion is even in each ``t``, so a minimum at 0 is an ordinary one. A standard
     deviation that ends at 0 though the criterion falls there is set off again.
     """
     t = np.abs(np.asarray(start, float))
     for _ in range(RESTARTS + 1):
-        t = drop_to_zero(f, _quasi_newton(slopes, t, max_steps))
+        found = _quasi_newton(slopes, t, max_steps)
+        if found is None:
+            return drop_to_zero(f, simplex_minimum(f, np.abs(np.asarray(start, float))))
+        t = drop_to_zero(f, found)
         falling = (t == 0) & (slopes(t)[1] < -FLAT)
         if not falling.any():
             return t
@@ -201,8 +207,9 @@ def slope_minimum(f, slopes, start: np.ndarray, max_steps: int = 200) -> np.ndar
     raise RuntimeError(f"the minimum was not found in {RESTARTS + 1} searches")
 
 
-def _quasi_newton(slopes, t: np.ndarray, max_steps: int) -> np.ndarray:
-    """BFGS with the curvature at the start taken from differences of the slopes."""
+def _quasi_newton(slopes, t: np.ndarray, max_steps: int) -> np.ndarray | None:
+    """BFGS with the curvature at the start taken from differences of the slopes; None if
+    the slope does not vanish."""
     def at(t):
         value, by_variance = slopes(t)
         return value, 2 * t * by_variance
@@ -235,9 +242,7 @@ def _quasi_newton(slopes, t: np.ndarray, max_steps: int) -> np.ndarray:
         if along > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(bent):
             left = np.eye(len(t)) - np.outer(moved, bent) / along
             inverse = left @ inverse @ left.T + np.outer(moved, moved) / along
-    if promise < -FLAT:
-        raise RuntimeError(f"the slope has not vanished after {max_steps} steps")
-    return t
+    return t if promise >= -FLAT else None
 
 
 class Profile:
@@ -284,11 +289,15 @@ class Profile:
         t_big, t_small = abs(t_big), np.abs(t_small)
         q, m = self.q, self.q + self.p
         k, d, logdet, s = self.factor(t_big, t_small)
+        nothing = np.inf, np.inf, np.full(len(self.sizes), np.inf)
         value, rss = self._value(k, logdet)
         if not np.isfinite(value):
-            return np.inf, np.inf, np.full(len(self.sizes), np.inf)
+            return nothing
         df = self.n - self.p
-        inverse = np.linalg.inv(k[:m, :m])
+        try:
+            inverse = np.linalg.inv(k[:m, :m])
+        except np.linalg.LinAlgError:
+            return nothing
         coef = inverse @ k[:m, m]
         inner, outer = s[:m, :q] * d[:m, None], rows[:, :m] * d[None, :m]
         pull = (s[:q, m] - inner.T @ coef) ** 2

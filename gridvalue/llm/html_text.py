@@ -7,15 +7,17 @@ aligned by a longest common subsequence, and shared lines are template in all co
 that a site repeats inside its articles would go, and adverts or menus that change
 from page to page would stay. So it decides the lines that no element claims; lines
 in an article are kept, lines in menus, headers, footers, asides, forms and the like
-are not. A class or id name is a hint only: it never marks an article or what holds
-one, and a line that it marks inside an article goes only if the neighbour has it too.
+are not. Names of adverts, comments, teasers and the like (``APART``) drop what they
+mark. Other class or id names are hints: they never mark an article or what holds one,
+and a line that they mark inside an article goes only if the neighbour has it too.
 """
 
 from __future__ import annotations
 
-import bisect
 import itertools
+import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from os.path import commonprefix
 
@@ -46,6 +48,13 @@ NAMED = frozenset((
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
     "consent disqus footer header menu nav navbar navigation newsletter notice notices popup promo promoted related "
     "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
+#: Those of them that mark what is never part of an article, as first or last word of a name.
+APART = frozenset((
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent "
+    "disqus newsletter popup promo promoted related replies respond share sharing social sponsor sponsored subscribe").split())
+#: Words that make a name a setting of the element instead of what it holds.
+SETTING = frozenset("has no with without is hide show enabled disabled open closed allow".split())
+REPLIES = frozenset("comment comments replies respond disqus".split())
 
 #: HINT: in an article, below a name that marks template. SIDE: such a name outside articles.
 KEEP, DROP, OPEN, HINT, SIDE = 1, -1, 0, 2, -2
@@ -59,57 +68,74 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, tuple]] = []
-        # Element, verdict inside, is seen, numbers of the names that mark it.
-        self.stack: list[tuple[str, int, bool, tuple]] = []
+        self.found: list[tuple[str, int, int, bool]] = []
+        # Element, verdict inside, is seen, number of the innermost hint or 0, whether it is apart.
+        self.stack: list[tuple[str, int, bool, int, bool]] = []
+        self.open: Counter = Counter()  # elements of the stack by tag
         self.text: list[str] = []
-        self.names = 0
-        self.void: set[int] = set()  # names of elements that hold an article
+        self.around = [0]  # hint around each hint
+        self.void = {0}  # hints on elements that hold an article, and so all around them
 
-    def _state(self) -> tuple[int, bool, tuple]:
-        return self.stack[-1][1:] if self.stack else (OPEN, True, ())
+    def _state(self) -> tuple[int, bool, int, bool]:
+        return self.stack[-1][1:] if self.stack else (OPEN, True, 0, False)
 
     def _end_line(self):
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         if line:
-            verdict, _, names = self._state()
-            self.found.append((line, verdict, names))
+            verdict, _, hint, apart = self._state()
+            self.found.append((line, verdict, hint, apart))
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH and any(row[0] == "p" for row in self.stack):
+        if tag in ENDS_PARAGRAPH and self.open["p"]:
             self.handle_endtag("p")
         if tag in BLOCK:
             self._end_line()
         if tag in VOID:
             self.text.append(" " if tag == "br" else "")
             return
-        verdict, seen, names = self._state()
+        verdict, seen, hint, apart = self._state()
         seen = seen and tag not in UNSEEN
         if tag in ("html", "body") or verdict == DROP:
             pass
         elif self._claimed(attrs) or tag in TEMPLATE and (tag != "header" or verdict != KEEP):
             verdict = DROP
         elif tag in MAIN:
-            if verdict != KEEP:
-                # What holds an article is no template, whatever its name.
-                self.void.update(names)
-                verdict, names = KEEP, ()
-        elif self._named(attrs):
-            self.names += 1
-            names = (*names, self.names)
-        self.stack.append((tag, verdict, seen, names))
+            apart = apart or self._marks(attrs, REPLIES)
+            if apart and verdict == KEEP:
+                verdict = DROP
+            elif verdict != KEEP:
+                # What holds an article is no template, whatever hints its name gives.
+                while hint not in self.void:
+                    self.void.add(hint)
+                    hint = self.around[hint]
+                verdict, hint = KEEP, 0
+        elif self._marks(attrs, APART):
+            verdict, apart = (DROP if verdict == KEEP else verdict), True
+        elif self._hinted(attrs):
+            self.around.append(hint)
+            hint = len(self.around) - 1
+        self.stack.append((tag, verdict, seen, hint, apart))
+        self.open[tag] += 1
 
     @staticmethod
     def _claimed(attrs) -> bool:
         return any(n == "hidden" or n == "role" and (v or "").lower().strip() in ROLES for n, v in attrs)
 
     @staticmethod
-    def _named(attrs) -> bool:
-        return any(n in ("class", "id") and NAMED.intersection(_NOT_LETTERS.split((v or "").lower())) for n, v in attrs)
+    def _given(attrs) -> list[list[str]]:
+        """The words of each class or id name that is no setting."""
+        found = [_NOT_LETTERS.split(name) for n, v in attrs if n in ("class", "id") for name in (v or "").lower().split()]
+        return [words for words in found if not SETTING.intersection(words)]
+
+    def _marks(self, attrs, words) -> bool:
+        return any(given[0] in words or given[-1] in words for given in self._given(attrs))
+
+    def _hinted(self, attrs) -> bool:
+        return any(NAMED.intersection(given) for given in self._given(attrs))
 
     def handle_endtag(self, tag):
-        if tag in VOID or all(row[0] != tag for row in self.stack):
+        if tag in VOID or not self.open[tag]:
             return
         if tag in BLOCK:
             self._end_line()
@@ -118,6 +144,7 @@ class _Lines(HTMLParser):
             if top in BLOCK and top != tag:
                 self._end_line()
             self.stack.pop()
+            self.open[top] -= 1
             if top == tag:
                 return
 
@@ -130,8 +157,17 @@ class _Lines(HTMLParser):
         self._end_line()
 
     def lines(self) -> list[tuple[str, int]]:
+        """What is apart goes, unless the page has nothing else: a wrapper of the whole
+        page may have such a name."""
+        rest = {verdict for _, verdict, _, apart in self.found if not apart and verdict != DROP}
         marked = {KEEP: HINT, OPEN: SIDE}
-        return [(t, v if self.void.issuperset(names) else marked.get(v, v)) for t, v, names in self.found]
+
+        def said(verdict, hint, apart):
+            if apart and (verdict == KEEP and KEEP in rest or verdict == OPEN and rest):
+                return DROP
+            return verdict if hint in self.void else marked.get(verdict, verdict)
+
+        return [(t, said(v, hint, apart)) for t, v, hint, apart in self.found]
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
@@ -163,26 +199,55 @@ def shared_lines(mine: list, other: list) -> list[bool]:
 
 
 def _longest(a: list, b: list) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``, by the matches of
-    each line in turn: ``ends[k]`` is where the best subsequence of k + 1 ends in b."""
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Bit j of a row's number is clear where line j of ``b`` makes the subsequence with the
+    lines of ``a`` so far longer; a row is a few operations on such numbers. Every s-th of
+    n rows is kept, s = sqrt(n), and the rows between are made anew on the way back, so
+    memory is about 2 s numbers of len(b) bits, however often lines repeat.
+    """
+    common = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in common]
+    a, b = [a[i] for i in at], [x for x in b if x in common]
+    n, m = len(a), len(b)
+    if not n:
+        return []
     places: dict = {}
     for j, x in enumerate(b):
         places.setdefault(x, []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect.bisect_left(ends, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(chain)
-            else:
-                ends[k], chains[k] = j, chain
-    found, chain = [], chains[-1] if chains else None
-    while chain:
-        found.append(chain[0])
-        chain = chain[1]
+
+    def bits(x) -> int:
+        mask = bytearray(m // 8 + 1)
+        for j in places[x]:
+            mask[j // 8] |= 1 << j % 8
+        return int.from_bytes(mask, "little")
+
+    often = {x: bits(x) for x, js in places.items() if len(js) ** 2 > m}
+    full = (1 << m) - 1
+
+    def rows(row: int, lines: list) -> list[int]:
+        out = [row]
+        for x in lines:
+            hit = row & (often[x] if x in often else bits(x))
+            row = (row + hit | row - hit) & full
+            out.append(row)
+        return out
+
+    step = math.isqrt(n - 1) + 1
+    kept = [full]
+    for start in range(0, n - step, step):
+        kept.append(rows(kept[-1], a[start:start + step])[-1])
+    found, j = [], m
+    for k in range(len(kept) - 1, -1, -1):
+        made = rows(kept[k], a[k * step:(k + 1) * step])
+        for i in range(len(made) - 1, 0, -1):
+            # The last place at or before j where this row grows, by the clear bits below.
+            j = (~made[i] & (1 << j) - 1).bit_length()
+            if not j:
+                return found[::-1]
+            if made[i - 1] >> j - 1 & 1:  # not yet in the row before: here they match
+                found.append(at[k * step + i - 1])
+                j -= 1
     return found[::-1]
 
 

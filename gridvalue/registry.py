@@ -28,6 +28,7 @@ from .sources import (
 SEED = 7
 SIMS = 4
 THETA = 0.25
+RATIOS = (0.25, 0.2, 0.1)
 PLAY_ORDER = ["GameID", "Drive", "qtr", "TimeSecs", "DefensiveTeam", "PlayType", "Passer_ID",
               "Receiver_ID", "Rusher_ID", "Yards_Gained", "EPA", "AirYards", "Reception"]
 
@@ -109,6 +110,13 @@ def season_fits(spark, sf) -> DataFrame:
     return settle(effects.fit_season_models(pooled(spark, sf)), "fits")
 
 
+@_stage
+def given_fits(spark, sf) -> DataFrame:
+    """The season's crossed models at given sd ratios of their grouping factors."""
+    theta = {m: RATIOS[:len(spec.groups)] for m, spec in effects.WP_MODELS.items()}
+    return settle(effects.fit_season_models(pooled(spark, sf), theta=theta), "given")
+
+
 @_stage
 def season_results(spark, sf) -> SeasonTables:
     """Stored season: win-probability WAR with statistics."""
@@ -450,6 +458,28 @@ def oneway_effects(spark, sf):
     return rounded(fits.select("Season", "model", "factor", "level", "estimate"))
 
 
+@query
+def passing_effects_given(spark, sf):
+    """Effects of the crossed passing models at given sd ratios."""
+    return _given(spark, sf, "air", "yac")
+
+
+@query
+def rushing_effects_given(spark, sf):
+    return _given(spark, sf, "qb_rush", "main_rush")
+
+
+def _given(spark, sf, *models) -> DataFrame:
+    fits = given_fits(spark, sf).where((F.col("kind") == "effect") & F.col("model").isin(*models))
+    return rounded(fits.select("Season", "model", "factor", "level", "estimate"), digits=7)
+
+
+@query
+def value_added_given(spark, sf):
+    out = value.add_value(pooled(spark, sf), given_fits(spark, sf))
+    return rounded(season.all_positions(out, _value_columns("iPA", "iPAA")), digits=6)
+
+
 @query
 def value_added(spark, sf):
     out = value.add_value(pooled(spark, sf), season_fits(spark, sf))
@@ -493,6 +523,13 @@ def _value_columns(*measures: str, total: bool = False) -> list[str]:
             *[f"{f}_{m}" for m in measures for f in facets]]
 
 
+@query
+def above_replacement_given(spark, sf):
+    """Value above replacement and wins from the crossed models at given sd ratios."""
+    out = value.above_replacement(value.add_value(pooled(spark, sf), given_fits(spark, sf)))
+    return rounded(season.all_positions(out, _value_columns("iPAR", total=True)), digits=6)
+
+
 def _above(spark, sf) -> SeasonTables:
     return value.above_replacement(value.add_value(pooled(spark, sf), oneway_fits(spark, sf)))
 

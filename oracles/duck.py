@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from . import crossed
+
 SEED = 7
 
 CTES: dict[str, str] = {}
@@ -420,7 +422,7 @@ for _k, _a in _PAIRS.items():
     CTES[f"u_{_k}"] = oneway(*_a)
 
 
-def _valued(pos: str) -> str:
+def _valued(pos: str, fits: str = "u") -> str:
     qb = pos == "QB"
     s = "P" if qb else "R"
     rec = "Player_Model_ID" if qb else "Player_Model_ID_Rec"
@@ -433,13 +435,13 @@ select x."Season", x."Player_ID_Name", x."Position", x."{rec}" rec_id, x."{rush}
  coalesce(a.est, 0) "air_iPA", coalesce(y.est, 0) "yac_iPA", coalesce(r.est, 0) "rush_iPA",
  coalesce(a.sd, 0) air_sd, coalesce(y.sd, 0) yac_sd, coalesce(r.sd, 0) rush_sd,
  {n_air} * coalesce(a.est, 0) "air_iPAA", {n_air} * coalesce(y.est, 0) "yac_iPAA", {n_rush} * coalesce(r.est, 0) "rush_iPAA"
-from {pos}_f x left join u_air_{s} a on a."Season" = x."Season" and a.lv = x."{rec}"
-left join u_yac_{s} y on y."Season" = x."Season" and y.lv = x."{rec}"
-left join u_rush_{s} r on r."Season" = x."Season" and r.lv = x."{rush}"
+from {pos}_f x left join {fits}_air_{s} a on a."Season" = x."Season" and a.lv = x."{rec}"
+left join {fits}_yac_{s} y on y."Season" = x."Season" and y.lv = x."{rec}"
+left join {fits}_rush_{s} r on r."Season" = x."Season" and r.lv = x."{rush}"
 """
 
 
-def _above(pos: str) -> str:
+def _above(pos: str, valued: str = "v") -> str:
     roles = {"QB": ("QB", "QB"), "RB": ("RB_rec", "RB_rush"), "WR": ("WR_rec", "WR_TE_rush"), "TE": ("TE_rec", "WR_TE_rush")}
     rec, rush = roles[pos]
     return f"""
@@ -447,7 +449,7 @@ select *, "air_iPAR" + "yac_iPAR" + "rush_iPAR" "total_iPAR" from (
 select v.*, "air_iPAA" - n_air * max(case when rec_id = 'Replacement_{rec}' then "air_iPA" end) over s "air_iPAR",
  "yac_iPAA" - n_air * max(case when rec_id = 'Replacement_{rec}' then "yac_iPA" end) over s "yac_iPAR",
  "rush_iPAA" - n_rush * max(case when rush_id = 'Replacement_{rush}' then "rush_iPA" end) over s "rush_iPAR"
-from {pos}_v v window s as (partition by "Season"))
+from {pos}_{valued} v window s as (partition by "Season"))
 """
 
 
@@ -456,6 +458,15 @@ for _p in ("QB", "RB", "WR", "TE"):
     CTES[f"{_p}_a"] = _above(_p)
 CTES["above"] = " union all ".join(f"select * from {p}_a" for p in ("QB", "RB", "WR", "TE"))
 CTES["valued"] = " union all ".join(f"select * from {p}_v" for p in ("QB", "RB", "WR", "TE"))
+CTES |= crossed.CTES
+for _k, _m, _f in (("air_P", "air", "Passer"), ("yac_P", "yac", "Passer"), ("rush_P", "qb_rush", "Rusher"),
+                   ("air_R", "air", "Receiver"), ("yac_R", "yac", "Receiver"), ("rush_R", "main_rush", "Rusher")):
+    CTES[f"c_{_k}"] = f"select * from mme_fit where model = '{_m}' and factor = '{_f}_ID_Name'"
+for _p in ("QB", "RB", "WR", "TE"):
+    CTES[f"{_p}_vc"] = _valued(_p, "c")
+    CTES[f"{_p}_ac"] = _above(_p, "vc")
+CTES["valued_given"] = " union all ".join(f"select * from {p}_vc" for p in ("QB", "RB", "WR", "TE"))
+CTES["above_given"] = " union all ".join(f"select * from {p}_ac" for p in ("QB", "RB", "WR", "TE"))
 CTES["ppw"] = 'select "Season", 1 / regr_slope("Wins", "Total_Score_Diff") price from standings group by "Season"'
 
 

@@ -146,6 +146,10 @@ select x."Season", "GameID", "Drive", x.posteam, "PlayType", "EPA", "Pass_EPA_At
         for u, m, f in (("air_P", "air", "Passer_ID_Name"), ("yac_P", "yac", "Passer_ID_Name"),
                         ("air_R", "air", "Receiver_ID_Name"), ("yac_R", "yac", "Receiver_ID_Name"),
                         ("rush_P", "qb_rush", "Rusher_ID_Name"), ("rush_R", "main_rush", "Rusher_ID_Name"))),
+    **{f"{kind}_effects_given": 'select "Season", model, factor, lv "level", round(est + 1e-10, 7) "estimate" from mme_fit '
+        f"where model in ({models})" for kind, models in (("passing", "'air', 'yac'"), ("rushing", "'qb_rush', 'main_rush'"))},
+    "value_added_given": f"select {_VALUE}, {_round([f'{f}_{m}' for m in ('iPA', 'iPAA') for f in _FACETS], 6)} from valued_given",
+    "above_replacement_given": f"select {_VALUE}, {_round([f'{f}_iPAR' for f in (*_FACETS, 'total')], 6)} from above_given",
     "value_added_oneway": f"select {_VALUE}, {_round([f'{f}_{m}' for m in ('iPA', 'iPAA') for f in _FACETS])} from valued",
     "effect_intervals_oneway": f"select {_VALUE}, " + ", ".join(
         f'round({n} ("{f}_iPA" {sign} 2 * {f}_sd) + 1e-12, 9) "{side}_{f}_{m}"'

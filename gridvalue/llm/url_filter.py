@@ -12,6 +12,8 @@ host, and pages meet their host's verdict in one join that AQE splits at hot hos
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ from .html_text import host_and_path
 
 DAMPING = 0.85
 THRESHOLD = 0.5
-ROUNDS = 30
 TOLERANCE = 1e-12
 
 #: Fixed values: (action, host, path).
@@ -64,11 +65,21 @@ def rules_by_host(hosts: DataFrame, rules) -> DataFrame:
     return fit.groupBy("host").agg(F.sort_array(F.collect_set(order)).alias("rules"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rounds_to(tolerance: float, damping: float = DAMPING) -> int:
+    """Rounds after which the change is within the tolerance on any graph: a round moves
+    scores as a matrix whose columns sum to 1 and share 1 - damping, so that it shrinks
+    the last change, which is at most 2 for each of the two kinds, by ``damping`` or more."""
+    return math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING,
+              tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score) from seeds (kind, host, weight), kinds ``trust`` and ``distrust``.
 
     Scores of a kind with seeds sum to 1. What reaches a host without further links
-    goes back to the seeds. Stops when no round changes the scores by over 1e-12 in all.
+    goes back to the seeds. Stops when a round changes the scores by no more than
+    ``tolerance`` in all and raises if they do not settle; ``rounds`` asks for that many
+    rounds instead.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n"))
@@ -81,7 +92,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     scores = start.withColumnRenamed("base", "score")
     if steps.limit(1).count() == 0:
         return scores
-    for _ in range(rounds):
+    for _ in range(rounds or rounds_to(tolerance, damping)):
         moved = scores.join(steps, (scores["kind"] == steps["kind"]) & (F.col("host") == F.col("from"))).groupBy(
             steps["kind"], F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         moved = settle(moved, "moved")
@@ -94,14 +105,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         change = new.withColumnRenamed("score", "new").join(scores, ["kind", "host"], "full").agg(
             F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0] or 0.0
         scores = new
-        if change <= TOLERANCE:
-            break
+        if rounds is None and change <= tolerance:
+            return scores
+    if rounds is None:
+        raise RuntimeError(f"scores of hosts still change by {change} a round")
     return scores
 
 
 def filter_urls(
     pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html",
-    threshold: float = THRESHOLD, rounds: int = ROUNDS,
+    threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(key, host, path, rule, verdict, trust, distrust) of every URL.
 
@@ -118,7 +131,7 @@ def filter_urls(
     judged = settle(judged.select("key", "host", "path", "best.rule", "best.action"), "judged")
     kind = F.when(F.col("action") == "allow", "trust").otherwise("distrust")
     seeds = judged.where("action is not null").groupBy(kind.alias("kind"), "host").agg(F.count(F.lit(1)).alias("weight"))
-    scores = propagate(host_edges(split, "html"), seeds, rounds)
+    scores = propagate(host_edges(split, "html"), seeds, tolerance=tolerance)
     of = scores.groupBy("host").agg(*[
         F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     both = judged.join(settle(of, "hosts"), "host", "left").fillna(0.0, ["trust", "distrust"])
@@ -128,19 +141,12 @@ def filter_urls(
         F.coalesce("action", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 
-def oracle_sql(rules=RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD, damping: float = DAMPING) -> str:
-    """DuckDB SQL for key, host, path, rule and verdict, its rounds unrolled."""
+def oracle_sql(rules=RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD, damping: float = DAMPING) -> str:
+    """DuckDB SQL for key, host, path, rule and verdict: walks of every length from the
+    seeds are summed and scaled to 1, which is where the rounds end up."""
     listed = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in rules)
-    steps = []
-    for k in range(rounds):
-        steps.append(f"""
-m{k + 1} as materialized (select w.kind, w.dst as host, sum(s.score * w.share) as v from s{k} s join ways w
-  on w.kind = s.kind and w.src = s.host group by all),
-s{k + 1} as materialized (select coalesce(m.kind, b.kind) as kind, coalesce(m.host, b.host) as host,
-  coalesce(m.v, 0) + coalesce(b.base, 0) * (1 - coalesce((select sum(x.v) from m{k + 1} x where x.kind = b.kind), 0)) as score
-  from m{k + 1} m full join seeds b on m.kind = b.kind and m.host = b.host)""")
     return f"""
-with rest as (select page_id, html, case when strpos(coalesce(url, ''), '://') > 0
+with recursive rest as (select page_id, html, case when strpos(coalesce(url, ''), '://') > 0
   then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
 urls as (select page_id, html, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
@@ -157,9 +163,13 @@ ways as materialized (select kind, src, dst, {damping} * n / sum(n) over (partit
 counts as (select case action when 'allow' then 'trust' else 'distrust' end as kind, host, count(*) as n
   from judged where action is not null group by all),
 seeds as materialized (select kind, host, n / sum(n) over (partition by kind) as base from counts),
-s0 as materialized (select kind, host, base as score from seeds),{','.join(steps)},
+walks(k, kind, host, v) as (select 0, kind, host, cast(base as double) from seeds union all
+  select s.k + 1, w.kind, w.dst, sum(s.v * w.share) from walks s join ways w on w.kind = s.kind and w.src = s.host
+  where s.k < {rounds_to(tolerance, damping)} group by s.k, w.kind, w.dst),
+scores as (select kind, host, sum(v) / case when (select count(*) from ways) = 0 then 1 else sum(sum(v)) over (partition by kind) end as score
+  from walks group by kind, host),
 hosts as (select host, sum(case kind when 'trust' then score else 0 end) as t,
-  sum(case kind when 'distrust' then score else 0 end) as d from s{rounds} group by host)
+  sum(case kind when 'distrust' then score else 0 end) as d from scores group by host)
 select j.page_id, j.host, j.path, j.rule, coalesce(j.action,
   case when h.d > 0 and h.d >= {threshold} * (h.t + h.d) then 'block' else 'allow' end) as verdict
 from judged j left join hosts h on h.host = j.host"""

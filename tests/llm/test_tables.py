@@ -106,6 +106,35 @@ def test_url_filter_scores_are_pagerank(spark):
             assert abs(got.get((kind, h), 0) - v) < 1e-9
 
 
+def test_url_filter_trust_goes_along_a_long_chain_and_through_a_hub(spark):
+    chain = [(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(36)]
+    hub = [("h00", f"x{i}", 1) for i in range(200)] + [(f"x{i}", "h00", 1) for i in range(200)]
+    seeds = spark.createDataFrame([("trust", "h00", 1), ("distrust", "h36", 1)], "kind string, host string, weight long")
+
+    def scores(edges, tolerance):
+        rows = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds, tolerance=tolerance)
+        return {(r["kind"], r["host"]): r["score"] for r in rows.collect()}
+
+    got = scores(chain, 1e-3)
+    assert all(got["trust", f"h{i:02}"] > 0 and got["distrust", f"h{i:02}"] > 0 for i in range(37))
+    assert abs(sum(v for (k, _), v in got.items() if k == "trust") - 1) < 1e-9
+    near = scores(hub, 5e-2)
+    # h00 holds 1 / 1.85 of the mass, its 200 neighbours the rest in equal parts.
+    assert abs(near["trust", "h00"] - 1 / 1.85) < 0.05
+    assert all(abs(near["trust", f"x{i}"] - 0.85 / 1.85 / 200) < 5e-4 for i in range(200))
+
+
+def test_url_filter_sql_follows_links(spark):
+    # The SQL tells pages by their ids.
+    rows = list({r[0]: r for r in PAGES if r[0] is not None}.values())
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, tolerance=5e-2).collect()]
+    expected = con.execute("select page_id, host, path, rule, verdict from (" + url_filter.oracle_sql() + ")").fetchall()
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_op5_shards(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = QUERIES["op5_sharding"](spark, sf).collect()

@@ -12,11 +12,14 @@ sum of two stored numbers.
 from __future__ import annotations
 
 import itertools
+import json
+import os
 import re
 import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -34,10 +37,17 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 END_ID = 0
 #: Pieces of text whose ids a Python worker keeps, in two generations of half of them.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 500_000
 
 _INNER_SPACE = re.compile(r" (?=\S)")
-_WIDE_SPACE = re.compile(r" (?:\s|$)")
+#: Some letters: all of Basic Latin and Latin-1. Other letters only make longer parts.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f"[{_LETTER}]+")
+#: Places where the byte-level pre-tokenizer always splits, whatever stands around them: a
+#: run of letters ends before any other ASCII character, a run of marks (an apostrophe may
+#: begin a contraction) or a line end after no other space before a letter.
+_SPLITS = re.compile(
+    f"(?<=[{_LETTER}])(?=[\0-@\\[-`{{-\x7f])|(?<=[!-&(-/:-@\\[-`{{-~])(?=[{_LETTER}])|(?<=\\S\n)(?=[{_LETTER}])")
 
 
 def worker_state(name: str, make: Callable[[], object]):
@@ -48,63 +58,99 @@ def worker_state(name: str, make: Callable[[], object]):
     return held.__dict__[name]
 
 
+class _Spaces(Exception):
+    """A space here does not start a piece."""
+
+
+class _Kept(dict):
+    """Values of ``make`` for all keys asked for, and what is left of the generation before."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.old.get(key) or self.make(key)
+        return value
+
+
 class Encoder:
-    """The tokenizers library behind a cache of pieces.
+    """The tokenizers library behind a cache of pieces and of their parts.
 
     A piece is what a space followed by another character starts; the byte-level
     pre-tokenizer always splits there, so a text's ids are its pieces' ids in turn.
-    Texts with an added token's string are encoded whole.
+    A piece's parts are what ``_SPLITS`` leaves of it. A part of letters alone is one
+    word of the pre-tokenizer and goes to the library's model, any other part to the
+    whole library. Texts with an added token's string are encoded whole, as are all
+    texts if the tokenizer is not a byte-level BPE without a normalizer.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        # One thread a task: Spark runs as many tasks as there are cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        #: Pieces without their leading space.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = list(itertools.accumulate(map(len, ids), initial=0))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1]).tobytes()
-        return [flat[4 * s:4 * e] for s, e in itertools.pairwise(ends)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces into the young generation."""
-        old = self.old
-        known = {p: old[p] for p in pieces if p in old}
-        new = [p for p in pieces if p not in known] if known else pieces
-        self.young.update(known)
-        self.young.update(zip(new, self._library([f" {p}" for p in new])))
+        own = json.loads(tokenizer_json)
+        before = own["pre_tokenizer"] or {}
+        self.by_piece = (
+            own["normalizer"] is None and own["post_processor"] is None and own["truncation"] is None
+            and own["padding"] is None and own["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True) and not before.get("add_prefix_space", True))
+        # The byte-level alphabet: printable bytes stand for themselves, others follow from 256.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = itertools.count(256)
+        self.alphabet = [b if b in shown else next(others) for b in range(256)]
+        self.space = chr(self.alphabet[32])
+        #: Ids by piece without its leading space, and by part that follows another.
+        self.pieces, self.tails = _Kept(self._piece, {}), _Kept(self._part, {})
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _part(self, part: str, lead: str = "") -> bytes:
+        """Ids of ``part`` after ``lead``, a space or nothing."""
+        if part.isascii() and part.isalpha():
+            word = self.space + part if lead else part
+        elif _WORD.fullmatch(part):
+            word = (lead + part).encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return self._whole(lead + part)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and ``piece``."""
+        if piece.isalpha():
+            return self._part(piece, " ")
+        if not piece or piece[0].isspace():
+            raise _Spaces
+        first, *rest = _SPLITS.split(piece)
+        if not rest:
+            return self._part(piece, " ")
+        return self.pieces[first] + b"".join(map(self.tails.__getitem__, rest))
+
+    def _joined(self, head: str, *pieces: str) -> bytes:
+        """Ids of ``head``, which no space leads, and of pieces."""
+        heads = map(self.tails.__getitem__, _SPLITS.split(head)) if head else ()
+        return b"".join(heads) + b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_piece or self.added and self.added.search(text):
+            return self._whole(text)
+        for kept in ("pieces", "tails"):
+            now = getattr(self, kept)
+            if len(now) > CACHED_PIECES // 2:
+                setattr(self, kept, _Kept(now.make, dict(now)))
+        try:
+            return self._joined(*text.split(" "))
+        except _Spaces:
+            return self._joined(*_INNER_SPACE.split(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young) > CACHED_PIECES // 2:
-            self.old, self.young = self.young, {}
-        get, heads, bodies, gaps = self.young.get, [], [], []
-        for text in texts:
-            if self.added and self.added.search(text):
-                heads.append(text)
-                bodies.append([])
-                continue
-            # A part that is empty or begins with white space is no piece of its own.
-            head, *parts = _INNER_SPACE.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
-            ids = list(map(get, parts))
-            heads.append(head)
-            bodies.append(ids)
-            at, missing = -1, []
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                missing.append(at)
-            gaps.append((ids, missing, [parts[i] for i in missing]))
-        self._learn(list(dict.fromkeys(itertools.chain.from_iterable(own for _, _, own in gaps))))
-        for ids, missing, own in gaps:
-            for i, x in zip(missing, map(get, own)):
-                ids[i] = x
-        return [head + b"".join(ids) for head, ids in zip(self._library(heads), bodies)]
+        return [self._text(text) for text in texts]
 
 
 def write_token_files(

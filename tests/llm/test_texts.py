@@ -184,6 +184,24 @@ def test_op7_equals_library(spark, sf, documents, odd, table):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_pieces_equal_library():
+    """Random joins of letters, marks, spaces and odd characters, by pieces and whole; also
+    with caches that forget after every text."""
+    rng = np.random.default_rng(7)
+    bits = ["a", "é", "ß", " ", "  ", "\n", "\n\n", "\t", ".", "...", "'", "s", "'re", "1", "_", "<|endoftext|>", "漢", "\0",
+            "\x85", "I", "İ", "ſ", "\u0301", "😀", "\r\n", "ª", "²", "٣", "word", "Bar", " \n", "’", "\x1c", "$$$"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(20_000)]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    expected = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.by_piece and encoder.encode(texts) == expected
+    size, token_files.CACHED_PIECES = token_files.CACHED_PIECES, 0
+    try:
+        assert encoder.encode(texts) == expected
+    finally:
+        token_files.CACHED_PIECES = size
+
+
 def test_token_files_read_selectively(spark, odd, tmp_path):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         token_files.write_token_files(odd, str(tmp_path / "t"), f.read())

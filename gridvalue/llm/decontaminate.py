@@ -1,17 +1,17 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Every window of ten consecutive words of a benchmark item (or the whole item, if
-it is shorter) is hashed. Tasks scan all word windows of their texts against the
-sorted set of hashes, compare the words of every candidate exactly, and mark the
-words that a verified window covers. The benchmark is a stated query set; it goes
-to the tasks in blocks of at most ``block_bytes`` of text, whatever its size, and
-the documents are never shuffled.
+it is shorter) is hashed, all at once over the joined texts, and the sorted hashes
+are broadcast. Tasks scan all word windows of their texts against them, compare the
+words of every candidate exactly, and mark the words that a verified window covers.
+The benchmark is a stated query set. It is broadcast in blocks of about
+``block_bytes`` of text (at most some 13 times that in arrays), of which the driver
+holds one at a time; each is one more pass over the texts, which keeps its block in
+its own worker. The documents are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,33 +31,56 @@ IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
 
 
+def hash_windows(items: list[tuple[str, str]], window: int) -> dict:
+    """Arrays of a block of items: their lower-cased bytes, words, and by number of words
+    the sorted hashes of all windows with the words that these begin at."""
+    raw = [text.encode() for _, text in items]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
+    data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+    starts, ends, first = find_words(data, at, IS_WORD)
+    hasher, counts, by_size = Hasher(), np.diff(first), {}
+    prefix = hasher.prefix(hasher.of_words(data, starts, ends))
+    sizes = np.minimum(counts, window)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        # An item has as many windows as its words allow; a shorter one is one window.
+        rows = np.flatnonzero(sizes == size)
+        each = counts[rows] - size + 1
+        words = np.repeat(first[rows] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        hashes = hasher.of_runs(prefix, size)[words]
+        order = np.argsort(hashes, kind="stable")
+        by_size[size] = hashes[order], words[order].astype(np.uint32)
+    return {"ids": [i for i, _ in items], "data": data.tobytes(), "starts": starts.astype(np.uint32),
+            "ends": ends.astype(np.uint32), "first": first, "windows": by_size}
+
+
 class WindowSet:
-    """Windows of benchmark items by their number of words."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.hasher = Hasher()
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        by_size: dict[int, set[bytes]] = defaultdict(set)
-        for item, text in items:
-            words = split_words(text)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                key = b" ".join(words[i:i + size])
-                self.items[key].add(item)
-                by_size[size].add(key)
-        self.hashes = {size: self._hash(keys, size) for size, keys in sorted(by_size.items())}
+    """Search in the arrays of ``hash_windows``."""
+
+    def __init__(self, block: dict):
+        self.block, self.hasher = block, Hasher()
+        self.hashes = {size: hashes for size, (hashes, _) in block["windows"].items()}
         self.maps = {}
         for size, hashes in self.hashes.items():
             self.maps[size] = np.zeros(1 << 20, bool)
             self.maps[size][hashes >> np.uint64(44)] = True
-
-    def _hash(self, keys: set[bytes], size: int) -> np.ndarray:
-        out = []
-        for key in keys:
-            data = np.frombuffer(key, np.uint8)
-            s, e, _ = find_words(data, np.array([0, len(data)]), IS_WORD)
-            out.append(self.hasher.of_runs(self.hasher.prefix(self.hasher.of_words(data, s, e)), size)[0])
-        return np.unique(np.array(out, np.uint64))
+        #: Items by words, of the hashes that texts have met so far.
+        self.met: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def _items(self, size: int, value: np.uint64) -> dict[bytes, set[str]]:
+        """Items by the words of their windows with this hash."""
+        key = size, int(value)
+        if key not in self.met:
+            hashes, words = self.block["windows"][size]
+            lo, hi = (int(np.searchsorted(hashes, value, side)) for side in ("left", "right"))
+            out: dict[bytes, set[str]] = {}
+            own = words[lo:hi].astype(np.int64)
+            rows = np.searchsorted(self.block["first"], own, "right") - 1
+            for w, row in zip(own.tolist(), rows.tolist()):
+                spans = zip(self.block["starts"][w:w + size].tolist(), self.block["ends"][w:w + size].tolist())
+                text = b" ".join(self.block["data"][s:e] for s, e in spans)
+                out.setdefault(text, set()).add(self.block["ids"][row])
+            self.met[key] = out
+        return self.met[key]
 
     def scan(self, data: np.ndarray, at: np.ndarray):
         """Words per text, and verified windows: (text, first word, words, items)."""
@@ -74,18 +97,12 @@ class WindowSet:
             whole = maybe + size <= first[text + 1]
             for t, w in zip(text[whole].tolist(), maybe[whole].tolist()):
                 key = b" ".join(raw[s:e] for s, e in zip(starts[w:w + size], ends[w:w + size]))
-                if key in self.items:
-                    found.append((t, w - int(first[t]), size, self.items[key]))
+                items = self._items(size, runs[w]).get(key)
+                if items:
+                    found.append((t, w - int(first[t]), size, items))
         return np.diff(first), found
 
 
-def split_words(text: str | None) -> list[bytes]:
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = find_words(data, np.array([0, len(data)]), IS_WORD)
-    raw = data.tobytes()
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-
-
 def merge_spans(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for first, after in sorted(spans):
@@ -122,11 +139,11 @@ def find_leaks(
     fields = {count: T.LongType(), span: T.ArrayType(SPAN), hit: T.ArrayType(T.StringType())}
     out, first_block = docs, True
     for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
-        made = {}
+        made, shared = {}, docs.sparkSession.sparkContext.broadcast(hash_windows(block, window))
 
-        def scan(batch, block=block, made=made, first_block=first_block):
+        def scan(batch, shared=shared, made=made, first_block=first_block):
             if "set" not in made:
-                made["set"] = WindowSet(block, window)
+                made["set"] = WindowSet(shared.value)
             data, at = text_column(batch.column(text))
             counts, found = made["set"].scan(data, at)
             spans = [set() for _ in range(batch.num_rows)]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -184,6 +185,35 @@ def test_op7_equals_library(spark, sf, documents, odd, table):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_benchmark_windows_equal_brute_force():
+    """Windows of many items, repeated ones and short ones among them, found in texts."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["a", "b", "É", "12", "c-d", "_"]
+    items = [(str(i % 40), " ".join(rng.choice(vocabulary, rng.integers(0, 15)))) for i in range(120)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(80)] + [t for _, t in items[:40]]
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+    expected = {}
+    for item, text in items:
+        own = words(text)
+        size = min(4, len(own))
+        for i in range(len(own) - size + 1 if size else 0):
+            expected.setdefault(tuple(own[i:i + size]), set()).add(item)
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    built = decontaminate.WindowSet(decontaminate.hash_windows(items, 4))
+    counts, found = built.scan(np.frombuffer(b"".join(raw), np.uint8), at)
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    brute_force = [
+        (t, i, size, of) for t, text in enumerate(texts) for size in (1, 2, 3, 4) for i in range(len(words(text)))
+        if len(words(text)) >= i + size and (of := expected.get(tuple(words(text)[i:i + size])))]
+    assert sorted(map(str, ((t, i, s, sorted(of)) for t, i, s, of in found))) == sorted(
+        map(str, ((t, i, s, sorted(of)) for t, i, s, of in brute_force)))
+    assert decontaminate.hash_windows([], 4)["windows"] == {}
+
+
 def test_pieces_equal_library():
     """Random joins of letters, marks, spaces and odd characters, by pieces and whole; also
     with caches that forget after every text."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee_div, null_safe_join, prefix_sum, settle
+from ..functions.quantile import normal_quantile
 
 
 def unpivot_stats(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -105,14 +105,8 @@ def normal_scores(values: DataFrame) -> DataFrame:
     )
     size = ranked.groupBy("Metric").agg(F.sum("_times").alias("_n"))
     share = (F.col("_below") + (F.col("_times") + 1) / 2) / (F.col("_n") + 1)
-    quantile = NormalDist().inv_cdf
-
-    @F.pandas_udf("double")
-    def score(p: pd.Series) -> pd.Series:
-        return p.map(quantile)
-
-    joined = null_safe_join(ranked, settle(size, "metric_sizes"), ["Metric"])
-    return joined.select("Metric", "Value", score(share).alias("score"))
+    joined = null_safe_join(ranked, settle(size, "metric_sizes"), ["Metric"]).withColumn("_share", share)
+    return joined.select("Metric", "Value", normal_quantile(F.col("_share")).alias("score"))
 
 
 def copula_correlation(

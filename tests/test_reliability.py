@@ -1,7 +1,12 @@
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from gridvalue.functions.quantile import normal_quantile
 from gridvalue.operators import reliability as rel
 
 
@@ -33,10 +38,19 @@ def test_one_undefined_season_hides_discrimination(spark):
     assert row["Discrimination"] is None
 
 
+def test_normal_quantile_equals_standard_library(spark):
+    tails = [10.0 ** -k for k in range(1, 17)] + [1e-40, 1e-300]
+    ps = [i / 997 for i in range(1, 997)] + tails + [1 - t for t in tails if 1 - t < 1] + [0.075, 0.925, 0.5]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z"))
+    for r in rows.collect():
+        assert math.isclose(r["z"], NormalDist().inv_cdf(r["p"]), rel_tol=1e-14, abs_tol=1e-15)
+    outside = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (2.0,), (None,), (math.nan,)], "p double")
+    assert [r[0] for r in outside.select(normal_quantile(F.col("p"))).collect()] == [None] * 6
+
+
 def test_normal_scores_use_mean_ranks(spark):
     values = spark.createDataFrame([("m", v) for v in (1.0, 2.0, 2.0, 3.0, None)], "Metric string, Value double")
     got = {r["Value"]: r["score"] for r in rel.normal_scores(values).collect()}
-    from statistics import NormalDist
 
     z = NormalDist().inv_cdf
     assert got == pytest.approx({1.0: z(1 / 5), 2.0: z(2.5 / 5), 3.0: z(4 / 5)})
@@ -109,7 +123,6 @@ def test_correlation_of_pairs_with_missing_and_constant_metrics(spark):
     pdf["same"], pdf["none"], pdf["n"] = 4.0, np.nan, 10
     names = ["a", "b", "c", "same", "none"]
     got = rel.copula_correlation(spark.createDataFrame(pdf), "n", 1, names).first()["matrix"]
-    from statistics import NormalDist
 
     z = pdf[names].rank() / (pdf[names].notna().sum() + 1)
     z = z.map(lambda v: NormalDist().inv_cdf(v) if v == v else v)

@@ -56,3 +56,19 @@ def test_rosters_of_many_rows_are_merged(spark, monkeypatch):
     assert "Broadcast" in executed(small) and "Broadcast" not in executed(large)
     cols = ("Passer_ID", "Passer_Position", "Receiver_Position", "Rusher_Position")
     assert values(small, *cols) == values(large, *cols)
+
+
+def test_plays_are_joined_once_a_role(spark):
+    """Names and positions in one join give what the single steps give."""
+    p = plays(spark, [
+        {"PlayType": t, "Passer_ID": a, "Passer": a, "Receiver_ID": b, "Receiver": b, "Rusher_ID": c, "Rusher": c}
+        for t in ("Sack", "Pass", "Run", None) for a in ("1", "2", None) for b in ("2", "3") for c in ("1", "4", None)])
+    rosters = frame(spark, [{"GSIS_ID": i, "Pos": q, "Season": 2015} for i, q in
+                            [("1", "QB"), ("1", "RB"), ("2", "WR"), ("4", "RB"), (None, "TE")]],
+                    {"GSIS_ID": "string", "Pos": "string", "Season": "int"})
+    whole = preparation.add_positions(p, rosters)
+    names = preparation.sack_as_rush(preparation.id_name(preparation.fix_team_code(p)))
+    single = preparation.roster_positions(names, rosters).drop("Passer_Name", "Receiver_Name", "Rusher_Name")
+    assert whole.columns == single.columns
+    assert values(whole, *whole.columns) == values(single, *single.columns)
+    assert executed(whole).count("Join") == 3

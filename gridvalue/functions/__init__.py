@@ -12,6 +12,7 @@ from .semantics import (
 )
 from .storage import (
     clear_settled,
+    compiled_methods,
     join_side,
     scratch_tables,
     settle,
@@ -21,7 +22,7 @@ from .storage import (
 )
 
 __all__ = [
-    "Tally", "clear_settled", "ieee_div", "if_known", "is_number", "join_side",
+    "Tally", "clear_settled", "compiled_methods", "ieee_div", "if_known", "is_number", "join_side",
     "label", "null_safe_join", "number_rows", "prefix_sum", "scratch_tables", "settle", "settle_parts",
     "shared_folder", "spread", "sql_div", "text_flag", "top_rows", "union_all",
 ]

@@ -1,9 +1,11 @@
 """Plans that must hold for tables of any size, read from small ones."""
 
 import pytest
+from pyspark.sql import types as T
 
 from gridvalue.functions import storage
 from gridvalue.operators import bootstrap, preparation
+from gridvalue.sources import readers
 
 from helpers import frame, plays, values
 
@@ -72,3 +74,22 @@ def test_plays_are_joined_once_a_role(spark):
     assert whole.columns == single.columns
     assert values(whole, *whole.columns) == values(single, *single.columns)
     assert executed(whole).count("Join") == 3
+
+
+def test_written_tables_run_compiled_methods_only(spark, monkeypatch):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(name), []
+    monkeypatch.setattr(storage, "shared_folder", lambda s, f=storage.shared_folder: seen.append(s.conf.get(name)) or f(s))
+    with storage.compiled_methods(spark):
+        storage.settle(spark.range(3), "compiled")
+        assert spark.conf.get(name) == "8000"
+    assert spark.conf.get(name) == before and seen == ["8000"]
+
+
+def test_integers_of_files_are_matched_by_no_pattern_first(spark, tmp_path):
+    texts = ["7", " 8", "1.0", "2e3", "-4", "9007199254740993", "NA", ""]
+    raw = spark.createDataFrame([(t,) for t in texts], "x string")
+    out = readers._typed(raw, {"x": T.LongType()})
+    assert [r["x"] for r in out.collect()] == [7, 8, 1, 2000, -4, 9007199254740993, None, None]
+    plan = executed(out)
+    assert plan.index("try_cast" if "try_cast" in plan else "coalesce") < plan.index("RLIKE")

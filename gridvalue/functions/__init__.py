@@ -11,6 +11,8 @@ from .semantics import (
     union_all,
 )
 from .storage import (
+    PLAYS_CODEC,
+    attach,
     clear_settled,
     compiled_methods,
     join_side,
@@ -22,7 +24,7 @@ from .storage import (
 )
 
 __all__ = [
-    "Tally", "clear_settled", "compiled_methods", "ieee_div", "if_known", "is_number", "join_side",
+    "PLAYS_CODEC", "Tally", "attach", "clear_settled", "compiled_methods", "ieee_div", "if_known", "is_number", "join_side",
     "label", "null_safe_join", "number_rows", "prefix_sum", "scratch_tables", "settle", "settle_parts",
     "shared_folder", "spread", "sql_div", "text_flag", "top_rows", "union_all",
 ]

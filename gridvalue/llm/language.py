@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import settle
-from .common import add_by_slice, slices, text_column
+from .common import add_by_slice, drop_worker_state, slices, text_column
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
@@ -167,6 +167,7 @@ def add_language(docs: DataFrame, model: Model, text: str = "text", prefix: str
     are not rejected. Between equal cosines the first language by name wins.
     """
     def run(batch):
+        drop_worker_state()
         names, score, rejected = model.predict(batch.column(text))
         return {f"{prefix}lang_pred": pa.array(names, pa.string()), f"{prefix}score": pa.array(score, pa.float64()),
                 f"{prefix}rejected": pa.array(rejected, pa.bool_())}

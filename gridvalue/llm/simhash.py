@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import settle
-from .common import add_by_slice, free_prefix, give_back, text_column
+from .common import add_by_slice, drop_worker_state, free_prefix, give_back, text_column
 from .components import component_roots
 from .words import LOWER, find_words
 
@@ -72,6 +72,7 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint
                     shingle: int = SHINGLE) -> DataFrame:
     """Add the SimHash of each whole text as a long (its 64 bits, signed)."""
     def run(batch):
+        drop_worker_state()
         return {out: pa.array(fingerprints_of(*text_column(batch.column(text)), shingle).view(np.int64))}
 
     return add_by_slice(docs, text, run, {out: T.LongType()})

@@ -1,26 +1,28 @@
 """What Python workers keep from task to task."""
 
-from pyspark.sql import functions as F
+import sys
 
-from gridvalue.llm import simhash
+import pyarrow as pa
+import pytest
+
+from gridvalue.llm import common, language, simhash
 from gridvalue.llm.token_files import worker_state
 
 
-def test_fingerprint_tasks_keep_no_cache_of_another_operator(spark):
-    def keep(batches):
-        worker_state("large", lambda: "words")
-        yield from batches
+class _Model:
+    def predict(self, texts):
+        return ["en"] * len(texts), [1.0] * len(texts), [False] * len(texts)
 
-    def kept(batches):
-        import sys
-        for b in batches:
-            yield b.assign(kept="large" in vars(sys.modules.get("_gridvalue_worker", sys)))
 
-    docs = spark.range(8).repartition(8).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
-    assert docs.mapInArrow(keep, docs.schema).count() == 8
-    # Python workers are reused, so the same ones run these tasks.
-    prints = simhash.add_fingerprint(docs)
-    rows = prints.mapInPandas(kept, "doc_id long, text string, fingerprint_bits long, kept boolean").collect()
-    assert len(rows) == 8 and len({r["fingerprint_bits"] for r in rows}) == 1
-    again = docs.mapInPandas(kept, "doc_id long, text string, kept boolean").collect()
-    assert not any(r["kept"] for r in again)
+@pytest.mark.parametrize("module, start", [
+    (simhash, lambda: simhash.add_fingerprint(None)), (language, lambda: language.add_language(None, _Model()))])
+def test_tasks_keep_no_cache_of_another_operator(monkeypatch, module, start):
+    steps = []
+    monkeypatch.setattr(module, "add_by_slice", lambda docs, text, run, fields, **more: steps.append(run))
+    start()
+    assert worker_state("large", lambda: "words") == "words"
+    out = steps[0](pa.RecordBatch.from_pydict({"text": ["a b c", None]}))
+    assert all(len(column) == 2 for column in out.values())
+    assert common.WORKER_STATE not in sys.modules
+    assert worker_state("large", lambda: "anew") == "anew"
+    common.drop_worker_state()

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 
 from gridvalue.functions import storage
-from gridvalue.operators import replacement
+from gridvalue.operators import preparation, replacement
 from gridvalue.operators.tables import SeasonTables
 from gridvalue.plans import season
 from gridvalue.registry import RAW_TEXT
@@ -62,9 +62,9 @@ def test_line_items_do_not_go_along_to_the_customers(spark, folder, monkeypatch)
 
 
 def test_texts_are_read_before_plays_are_joined(spark, monkeypatch):
-    plans, settle = {}, storage.settle
+    joined = []
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(season, "settle", lambda df, name, **more: plans.update({name: executed(df)}) or settle(df, name, **more))
+    monkeypatch.setattr(season, "add_positions", lambda p, *a: joined.append(p.columns) or preparation.add_positions(p, *a))
     p = storage.settle(plays(spark, [
         {"Receiver_ID": "r", "Receiver": "n", "PlayType": "Pass", "HomeTeam": h, "posteam": "A", "desc": d}
         for h, d in (("A", "(Shotgun)"), ("B", "(No Huddle, Shotgun)"), (None, None))]), "plays")
@@ -73,8 +73,7 @@ def test_texts_are_read_before_plays_are_joined(spark, monkeypatch):
     flags = ["Shotgun_Ind", "No_Huddle_Ind", "Home_Ind"]
     assert values(out, *flags, "Receiver_Position") == [(0, 0, None, "WR"), (1, 0, 1, "WR"), (1, 1, 0, "WR")]
     assert out.columns.index("Shotgun_Ind") == out.columns.index("Rusher_Position") + 1
-    assert "contains(desc" in plans["model_plays"]
-    assert "contains(desc" not in plans["model_plays"].split("hashpartitioning(")[0]
+    assert set(flags) <= set(joined[0])
 
 
 def test_many_replacement_players_are_not_broadcast_to_their_tables(spark, monkeypatch):
@@ -91,3 +90,36 @@ def test_many_replacement_players_are_not_broadcast_to_their_tables(spark, monke
     assert values(out.wr, "Player_Model_ID_Rec") == sorted([("p5",), *[("Replacement_WR_rec",)] * 5], key=repr)
     for table in out.positions().values():
         assert "SortMergeJoin" in executed(table) and "BroadcastHashJoin" not in executed(table)
+
+
+def test_tables_and_plays_meet_only_the_players_of_their_roles(spark):
+    flags = frame(spark, [
+        {"Season": 1, "Player_ID_Name": "a", "_QB": True, "_WR_rec": False, "_TE_rec": False},
+        {"Season": 1, "Player_ID_Name": "b", "_QB": False, "_WR_rec": True, "_TE_rec": False},
+        {"Season": None, "Player_ID_Name": None, "_QB": False, "_WR_rec": False, "_TE_rec": True}],
+        {"Season": "int", "Player_ID_Name": "string", "_QB": "boolean", "_WR_rec": "boolean", "_TE_rec": "boolean"})
+    out = replacement._flagged(flags, ["Season"], ("WR_rec", "TE_rec"))
+    assert values(out, *out.columns) == sorted([(1, "b", True, False), (None, None, False, True)], key=repr)
+
+
+def test_frequent_players_are_found_without_shuffling_the_table(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(storage, "FREQUENT_KEYS", 2)
+    plans, write = {}, storage._write
+    monkeypatch.setattr(storage, "_write", lambda df, name, *a, **k: plans.update({name: executed(df)}) or write(df, name, *a, **k))
+    rows = frame(spark, [{"k": k, "x": i} for i, k in enumerate(["None"] * 5 + [None] * 4 + ["a", "b"])], {"k": "string", "x": "int"})
+    table = storage.settle(frame(spark, [{"id": i, "v": v} for i, v in [(None, "n"), (None, "m"), ("a", "p"), ("c", "q")]],
+                                 {"id": "string", "v": "string"}), "players")
+    out = storage.attach(rows, table, {"k": "id"})
+    assert values(out, "k", "v") == sorted([("None", None)] * 5 + [(None, "n"), (None, "m")] * 4 + [("a", "p"), ("b", None)], key=repr)
+    assert not [p for n, p in plans.items() if n in ("frequent_held", "frequent_rows") and "SortMergeJoin" in p]
+
+
+def test_names_of_passers_come_last_in_plans_but_not_in_columns(spark):
+    p = plays(spark, [{"Passer_ID": "q", "Passer": "n", "Receiver_ID": "r", "Receiver": "m"}])
+    out = preparation.id_name(p)
+    added = [c for c in out.columns if c not in p.columns]
+    assert added == [f"{r}_Name" for r in preparation.ROLES] + [f"{r}_ID_Name" for r in preparation.ROLES]
+    assert values(out, "Passer_ID_Name", "Receiver_ID_Name", "Rusher_ID_Name") == [("n-q", "m-r", "None-NA")]
+    first = next(x for x in executed(out).splitlines() if "Join" in x)
+    assert "Passer_ID" in first

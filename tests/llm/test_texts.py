@@ -80,6 +80,20 @@ def test_fold_of_any_bytes(ranks, coder):
         coder._encode_single_piece(w) for w in words]
 
 
+def test_rank_map_is_short_texts_in_a_plan_of_one_stage(spark, ranks):
+    made = spark.range(1).select(bpe.rank_map(ranks).alias("pairs"))
+    assert dict(made.dtypes)["pairs"] == "array<string>"
+    words = spark.createDataFrame([("thatwhich",), ("thatwhich",), ("zqxj",), (None,)], "word string")
+    plan, names = bpe.encode_words(words, ranks)._jdf.queryExecution().executedPlan(), []
+    while True:
+        names.append(plan.nodeName())
+        if not plan.children().size():
+            break
+        plan = plan.children().apply(0)
+    assert names[0] != "AdaptiveSparkPlan" and names[-1].startswith("Scan parquet")
+    assert not [n for n in names if "Join" in n or "Exchange" in n]
+
+
 def test_bpe_empty_table(spark, odd, ranks):
     assert bpe.round_trip_report(odd.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
     words = spark.createDataFrame([("",), (None,), ("the",)], "word string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import settle
+from ..functions import join_side, settle
 from .common import add_by_slice, drop_worker_state, free_prefix, give_back, text_column
 from .components import component_roots
 from .words import LOWER, find_words
@@ -216,7 +216,9 @@ def fingerprint_links(prints: DataFrame, bits: str, radius: int = RADIUS) -> Dat
     block = F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int")
     at = F.when(F.col("visitor") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
         F.sequence(F.lit(0), block))
-    placed = rows.join(tiles, "tile").select(
+    # Spark takes visitors for as few as fingerprints and would broadcast them. Tiles are
+    # 17**4 at most.
+    placed = rows.join(F.broadcast(tiles), "tile").select(
         "bits", "tile", F.col("visitor").alias("guest"), block.alias("block"), F.explode(at).alias("part"))
     placed = placed.select("bits", "tile", "part", F.when(
         (F.col("guest") == 0) & (F.col("block") == F.col("part")), 0).otherwise(1).alias("visitor"))
@@ -238,10 +240,10 @@ def near_duplicate_classes(
     rows = settle(rows.select("key", "bits"), "fingerprints")
     prints = settle(rows.groupBy("bits").agg(F.min("key").alias("least")), "prints")
     roots = settle(component_roots(fingerprint_links(prints, "bits", radius)), "roots")
-    named = prints.join(roots, F.col("bits") == F.col("node"), "left").select(
+    named = prints.join(join_side(roots), F.col("bits") == F.col("node"), "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = settle(named.join(smallest, "root").select("bits", "component"), "classes")
+    classes = join_side(settle(named.join(smallest, "root").select("bits", "component"), "classes"))
     return rows.join(classes, "bits").select("key", "bits", "component")
 
 

@@ -1,14 +1,17 @@
 """Operators on whole tables against brute force: chat, URL filter, shards, pages, near-duplicates, pipeline."""
 
 import random
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from gridvalue.functions import settle
 from gridvalue.llm import chat, components, html_text, sharding, simhash, url_filter
 from gridvalue.llm.ordered import in_order
 from gridvalue.llm.registry import ORACLES, QUERIES
@@ -256,6 +259,26 @@ def test_op9_equals_brute_force(spark, sf):
     assert got == expected and len({c for _, c in got.values()}) < len(got)
 
 
+def _broadcast_plans(df):
+    """The plan below each broadcast of an executed frame."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = [len(re.match(r"[\s:+\-]*", x)[0]) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
+def test_simhash_broadcasts_tiles_and_no_visitors(spark):
+    bits = np.random.default_rng(5).integers(-2**63, 2**63, 20_000)
+    prints = settle(spark.createDataFrame([(int(b),) for b in bits], "bits long"), "prints")
+    links = simhash.fingerprint_links(prints, "bits")
+    links.collect()
+    sent = _broadcast_plans(links)
+    assert sent and not [x for x in sent if "Generate" in x]
+
+
 def test_simhash_links_of_dense_prints(spark, monkeypatch):
     """Fingerprints within a few bits of each other, in many blocks of one tile."""
     rng = random.Random(9)

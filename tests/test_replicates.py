@@ -4,6 +4,8 @@ import math
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,28 @@ def test_sums_equal_repeated_rows(spark, small_blocks):
 def test_nothing_to_draw(spark):
     units = team_units(spark).where("false")
     assert draw_copies(units, ["Season", "posteam"], 3).count() == 0
+
+
+def test_short_splits_are_summed_together(spark):
+    """Few rows a split, in replicates that draw some of them; totals that are no number."""
+    lists = pa.array([[0, 1]] * 40, pa.list_(pa.int16()))
+    assert list(replicates._chunks(np.arange(1, 38), lists, 3)) == [(0, 36)]
+    assert list(replicates._chunks(np.array([0, 30, 40]), lists, 3)) == [(0, 1), (1, 2)]
+    rows = []
+    for i in range(3000):
+        x = math.inf if i % 50 == 7 else math.nan if i % 50 == 9 else i / 4
+        weights = [i % 3, 0, (i // 2) % 2, i % 2]
+        rows.append((None if i < 3 else i // 3, i // 2, 1, weights, x, i))
+    schema = "split int, game int, _first_sim int, _weights array<smallint>, x double, n long"
+    joined = settle(spark.createDataFrame(rows, schema), "weighted")
+    got = replicates.weighted_sums(joined.repartition(2), ["split"], ["game"], ["x", "n"], "games", "sim")
+    expected = {}
+    for split, game, first, weights, x, n in rows:
+        for sim, w in enumerate(weights, first):
+            if w:
+                cell = expected.setdefault((split, sim), [0.0, 0, set()])
+                cell[0], cell[1] = cell[0] + x * w, cell[1] + n * w
+                cell[2].add(game)
+    found = {(r["split"], r["sim"]): (r["x"], r["n"], r["games"]) for r in got.collect()}
+    assert set(found) == set(expected)
+    assert all(same(found[k][0], x) and found[k][1:] == (n, len(g)) for k, (x, n, g) in expected.items())

@@ -153,3 +153,17 @@ def test_bootstrap_of_the_season(spark, sf):
     assert out.qb.select("sim_id").distinct().count() == 2
     hit = out.qb.where("Replacement_Level = 1 and Pass_Attempts > 0")
     assert hit.count() > 0 and hit.where("Pass_Drives = 0").count() == 0
+
+
+def test_replicates_are_written_one_row_a_play(spark, sf, monkeypatch):
+    """Frames of a packed batch equal those of plays repeated per replicate."""
+    written, settle_ = {}, season.settle
+    monkeypatch.setattr(season, "settle", lambda df, name, **more: written.setdefault(name, settle_(df, name, **more)))
+    plays_, keys = registry.model_plays(spark, sf), ("Season", boot.SIM)
+    packed = season.season_tables(boot.drawn_drives(plays_, 3, seed=5), keys, boot.COPIES)
+    assert written["passing"].count() <= preparation.pass_plays(plays_).count()
+    written.clear()
+    each = season.season_tables(boot.resample_drives(plays_, 3, seed=5), keys, boot.COPIES)
+    for a, b in ((packed.passing, each.passing), (packed.rushing, each.rushing), (packed.qb, each.qb)):
+        assert a.columns == b.columns and a.dtypes == b.dtypes
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -62,6 +62,13 @@ def test_op3_equals_library(spark, sf, documents, coder):
     assert len(got) == len(documents)
 
 
+def test_bpe_counts_words_of_all_documents(spark):
+    docs = spark.range(30_000).selectExpr("concat('w', id div 2 + 10000, 'x') as text")
+    assert bpe.frequent_words(docs, "text", "[a-z0-9]+").count() == 15_000
+    some = docs.unionByName(docs.limit(50))
+    assert bpe.frequent_words(some, "text", "[a-z0-9]+", limit=40).count() <= 40
+
+
 @pytest.mark.parametrize("limit, rare", [(0, "task"), (4, "task"), (0, "spark"), (4, "spark")])
 def test_bpe_odd_texts(odd, ranks, coder, limit, rare):
     """The ids do not depend on which words the broadcast holds, nor on who folds the rest."""

@@ -26,7 +26,7 @@ def shown(rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df, cursor = QUERIES[name](spark, sf), con.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
